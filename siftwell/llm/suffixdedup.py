@@ -37,6 +37,10 @@ from siftwell.llm.common import Scratch, keyed
 LENGTH, GRAM = 100, 32
 #: Starts of grams in one window.
 SPAN = LENGTH - GRAM + 1
+#: Rows whose contexts are gathered at once.
+AT_ONCE = 2000
+#: Contexts are dealt to so many times more buckets than anchors, as a power of two: they are ten times as large.
+FINER = 5
 #: Anchors that one block holds, about.
 BLOCK_ANCHORS = 400_000
 
@@ -189,43 +193,48 @@ CONTEXTS, RANGES = 0, 1
 def _contexts(batches: Iterator[pa.RecordBatch], bucket_bits: int) -> Iterator[pa.RecordBatch]:
     """From ``_k, text, offs``: first contexts of the block by bucket, and byte ranges of those that repeat one of the block."""
     for b in batches:
-        ids, offs = b.column(0).to_numpy(), b.column(2)
-        parts, blobs = [], []
-        for first, raw, offsets in buffers(b.column(1)):
-            own = [np.frombuffer(offs[first + i].as_py(), "<u4").astype(np.int64) for i in range(len(offsets) - 1)]
-            row = np.repeat(np.arange(len(own)), [len(x) for x in own])
-            if not len(row):
-                continue
-            pos = offsets[row] + np.concatenate(own)
-            start = np.maximum(offsets[row], pos - (SPAN - 1))
-            end = np.minimum(offsets[row + 1], pos + LENGTH)
-            total = _prefix(raw)
-            x = np.zeros(len(pos), CONTEXT)
-            x["g"] = _hash(total, pos, pos + GRAM, len(raw))
-            x["left"], x["size"] = pos - start, end - start
-            x["c"] = mix(_hash(total, start, end, len(raw)) + x["left"].astype(U64) * U64(257) + x["size"].astype(U64))
-            x["k"], x["off"] = ids[first + row], start - offsets[row]
-            parts.append((x, start))
-            blobs.append(raw)
-        if not parts:
+        for i in range(0, b.num_rows, AT_ONCE):
+            yield from _contexts_of(b.slice(i, AT_ONCE), bucket_bits)
+
+
+def _contexts_of(b: pa.RecordBatch, bucket_bits: int) -> Iterator[pa.RecordBatch]:
+    ids, offs = b.column(0).to_numpy(), b.column(2)
+    parts, blobs = [], []
+    for first, raw, offsets in buffers(b.column(1)):
+        own = [np.frombuffer(offs[first + i].as_py(), "<u4").astype(np.int64) for i in range(len(offsets) - 1)]
+        row = np.repeat(np.arange(len(own)), [len(x) for x in own])
+        if not len(row):
             continue
-        shift = np.cumsum([0] + [len(r) for r in blobs[:-1]])
-        raw = np.concatenate(blobs)
-        x = np.concatenate([p[0] for p in parts])
-        start = np.concatenate([p[1] + s for p, s in zip(parts, shift, strict=True)])
-        order = np.lexsort((x["off"], x["k"], x["c"], x["g"]))
-        x, start = x[order], start[order]
-        head = np.append(True, (x["g"][1:] != x["g"][:-1]) | (x["c"][1:] != x["c"][:-1]))
-        rest = x[~head]
-        rest = rest[np.argsort(rest["k"], kind="stable")]
-        out = [(RANGES, k, 0, _ranges(rest["off"][s], rest["off"][s].astype(np.int64) + rest["size"][s])) for k, s in _cut(rest["k"])]
-        x, start = x[head], start[head]
-        for bucket, s in _cut(_bits(bucket_bits, x["g"])):
-            size = x["size"][s].astype(np.int64)
-            at = np.repeat(start[s] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-            out.append((CONTEXTS, len(size), bucket, x[s].tobytes() + raw[at].tobytes()))
-        for i in range(0, len(out), 4096):
-            yield _batch(out[i : i + 4096])
+        pos = offsets[row] + np.concatenate(own)
+        start = np.maximum(offsets[row], pos - (SPAN - 1))
+        end = np.minimum(offsets[row + 1], pos + LENGTH)
+        total = _prefix(raw)
+        x = np.zeros(len(pos), CONTEXT)
+        x["g"] = _hash(total, pos, pos + GRAM, len(raw))
+        x["left"], x["size"] = pos - start, end - start
+        x["c"] = mix(_hash(total, start, end, len(raw)) + x["left"].astype(U64) * U64(257) + x["size"].astype(U64))
+        x["k"], x["off"] = ids[first + row], start - offsets[row]
+        parts.append((x, start))
+        blobs.append(raw)
+    if not parts:
+        return
+    shift = np.cumsum([0] + [len(r) for r in blobs[:-1]])
+    raw = np.concatenate(blobs)
+    x = np.concatenate([p[0] for p in parts])
+    start = np.concatenate([p[1] + s for p, s in zip(parts, shift, strict=True)])
+    order = np.lexsort((x["off"], x["k"], x["c"], x["g"]))
+    x, start = x[order], start[order]
+    head = np.append(True, (x["g"][1:] != x["g"][:-1]) | (x["c"][1:] != x["c"][:-1]))
+    rest = x[~head]
+    rest = rest[np.argsort(rest["k"], kind="stable")]
+    out = [(RANGES, k, 0, _ranges(rest["off"][s], rest["off"][s].astype(np.int64) + rest["size"][s])) for k, s in _cut(rest["k"])]
+    x, start = x[head], start[head]
+    for bucket, s in _cut(_bits(bucket_bits, x["g"])):
+        size = x["size"][s].astype(np.int64)
+        at = np.repeat(start[s] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        out.append((CONTEXTS, len(size), bucket, x[s].tobytes() + raw[at].tobytes()))
+    for i in range(0, len(out), 4096):
+        yield _batch(out[i : i + 4096])
 
 
 def suffix_order(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -377,7 +386,7 @@ def removed_ranges(base: DataFrame, scratch: Scratch) -> DataFrame:
     offs = again.union(found.where(F.col("kind") != ENTRIES)).groupBy("block").applyInPandas(_by_document, "_k long, offs binary")
     offs = scratch.save(offs, "offsets")
     scratch.drop("anchors")
-    contexts = base.select("_k", "text").join(offs, "_k").select("_k", "text", "offs").mapInArrow(partial(_contexts, bucket_bits=bits), FOUND)
+    contexts = base.select("_k", "text").join(offs, "_k").select("_k", "text", "offs").mapInArrow(partial(_contexts, bucket_bits=bits + FINER), FOUND)
     contexts = scratch.save(contexts, "contexts")
     told = contexts.where(F.col("kind") == CONTEXTS).groupBy("bucket").applyInPandas(_bucket, "_k long, ranges binary")
     told = told.union(contexts.where(F.col("kind") == RANGES).select(F.col("block").alias("_k"), F.col("payload").alias("ranges")))
