@@ -83,7 +83,7 @@ def payload_queries(c: Column) -> Column:
     named = F.from_json(c, ", ".join(f"{k} array<string>" for k in keys))
     starts = F.substring(F.trim(c), 1, 1)
     found = F.when(starts == "[", listed).when(starts == "{", F.coalesce(*(named[k] for k in keys))).otherwise(F.array(c))
-    return F.filter(F.transform(F.coalesce(found, F.array().cast("array<string>")), F.trim), lambda x: x.isNotNull() & (x != ""))
+    return F.filter(F.transform(F.coalesce(found, F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
 
 
 def snapshot(separator: str = "|", **columns: Column) -> Column:

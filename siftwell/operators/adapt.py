@@ -29,11 +29,11 @@ def drop_columns(df: DataFrame, names: list[str]) -> DataFrame:
 def normalised_labels(c: Column, kind: DataType) -> Column:
     """Labels as an array: text gives one label as it stands, or a JSON list's items; items are trimmed, empty ones and nulls go."""
     if isinstance(kind, ArrayType):
-        return F.coalesce(F.filter(F.transform(c.cast("array<string>"), F.trim), lambda x: x.isNotNull() & (x != "")), F.array().cast("array<string>"))
+        return F.coalesce(F.filter(F.transform(c.cast("array<string>"), lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != "")), F.array().cast("array<string>"))
     s = c.cast("string")
     parsed = F.when(F.substring(F.ltrim(s), 1, 1) == "[", F.from_json(s, "array<string>"))
     # A list that can't be parsed gives no rows of nulls but the text itself
-    items = F.filter(F.transform(parsed, F.trim), lambda x: x.isNotNull() & (x != ""))
+    items = F.filter(F.transform(parsed, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
     return F.when(s.isNull() | (F.trim(s) == ""), F.array().cast("array<string>")).when(parsed.isNotNull(), items).otherwise(F.array(s))
 
 

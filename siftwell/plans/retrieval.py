@@ -17,7 +17,7 @@ d AS (SELECT doc_id, {_TERMS.format('text')} AS terms FROM documents),
 st AS (SELECT count(*)::DOUBLE AS n, avg(len(terms)) AS avgdl FROM d),
 p AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(terms) AS dl, unnest(terms) AS term FROM d) WHERE term IN (SELECT term FROM qt) GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
-s AS (SELECT query_id, doc_id, sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score
+s AS (SELECT query_id, doc_id, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 12) AS score
   FROM p JOIN df USING (term) JOIN qt USING (term), st GROUP BY ALL)"""
 
 
@@ -45,7 +45,7 @@ def r01_bm25_search_filtered(spark, d):
 
 _COS = """
 v AS (SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings WHERE embedding IS NOT NULL),
-c AS (SELECT q.vec_id AS query_id, c.vec_id AS doc_id, q.label = c.label AS relevant, (1 + list_cosine_similarity(q.v, c.v)) / 2 AS score FROM v q JOIN v c ON q.vec_id % 25 = 0),
+c AS (SELECT q.vec_id AS query_id, c.vec_id AS doc_id, q.label = c.label AS relevant, round((1 + list_cosine_similarity(q.v, c.v)) / 2, 12) AS score FROM v q JOIN v c ON q.vec_id % 25 = 0),
 n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, doc_id) AS rank FROM c) WHERE rank <= 10)"""
 
 
@@ -66,7 +66,7 @@ WITH kw AS (SELECT orderkey AS query_id, n AS doc_id, k AS score FROM (SELECT l_
 ve AS (SELECT l_orderkey % 50 AS query_id, l_suppkey AS doc_id, round(sum(l_extendedprice), 2)::DOUBLE AS score FROM lineitem WHERE l_discount > 0.04 GROUP BY ALL),
 ks AS (SELECT query_id, doc_id, CASE WHEN max(score) OVER w = min(score) OVER w THEN 1.0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS ks FROM kw WINDOW w AS (PARTITION BY query_id)),
 vs AS (SELECT query_id, doc_id, CASE WHEN max(score) OVER w = min(score) OVER w THEN 1.0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS vs FROM ve WINDOW w AS (PARTITION BY query_id)),
-f AS (SELECT query_id, doc_id, 0.3 * coalesce(vs, 0) + 0.7 * coalesce(ks, 0) AS score FROM ks FULL JOIN vs USING (query_id, doc_id))
+f AS (SELECT query_id, doc_id, round(0.3 * coalesce(vs, 0) + 0.7 * coalesce(ks, 0), 12) AS score FROM ks FULL JOIN vs USING (query_id, doc_id))
 SELECT query_id, doc_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM f) WHERE rank <= 20
 """
 
@@ -84,7 +84,7 @@ kc AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER B
 vc AS (SELECT * FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, doc_id) AS r FROM c) WHERE r <= 100),
 ks AS (SELECT query_id, doc_id, coalesce((score - min(score) OVER w) / nullif(max(score) OVER w - min(score) OVER w, 0), 1.0) AS ks FROM kc WINDOW w AS (PARTITION BY query_id)),
 vs AS (SELECT query_id, doc_id, coalesce((score - min(score) OVER w) / nullif(max(score) OVER w - min(score) OVER w, 0), 1.0) AS vs FROM vc WINDOW w AS (PARTITION BY query_id)),
-f AS (SELECT query_id, doc_id, 0.5 * coalesce(vs, 0) + 0.5 * coalesce(ks, 0) AS score FROM ks FULL JOIN vs USING (query_id, doc_id))
+f AS (SELECT query_id, doc_id, round(0.5 * coalesce(vs, 0) + 0.5 * coalesce(ks, 0), 12) AS score FROM ks FULL JOIN vs USING (query_id, doc_id))
 SELECT query_id, rank::INT AS rank, doc_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM f) WHERE rank <= 10""")
 def r03_hybrid_search(spark, d):
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
