@@ -7,9 +7,11 @@ shingles per document) / RARE of those at any corpus size. Candidates come from
 (a shingle that frequent must be half as frequent in some block), exact counts from a second scan.
 
 Signatures of ``BANDS * ROWS`` samples are banded. Documents that share a bucket with its first
-document are compared with it by weighted Jaccard similarity; then members of other
-components than the bucket's largest are compared with all members of other components. So
-each bucket's links between components are found, without all pairs of a group of copies.
+document are compared with it by weighted Jaccard similarity. In buckets that then hold several
+components, the members outside the largest (strays) are compared with all members, block by
+block: a tile holds at most two blocks of ``TILE`` members on average and sends on only a
+spanning forest of the links it finds. So each bucket's links between components are found,
+while no pairs are emitted and the members of a large component never meet each other.
 
 Defined cases: equal texts (null counts as empty) are one class; texts without words have no other links; texts
 under five words are one shingle; an empty table gives none; repeated rows are copies.
@@ -22,8 +24,9 @@ from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm.bytesbuf import U64, buffers, mix, shingles
@@ -35,6 +38,12 @@ BANDS, ROWS = 24, 4
 RARE, LEAST_IDF = 0.01, 0.05
 #: Shingles that are counted together in one block.
 BLOCK_SHINGLES = 2_000_000
+#: Members of a block of a bucket, and rows of tiles that one group of a task holds, on average.
+TILE, TILES_ROWS = 512, 1024
+#: In large tiles, columns that fewer rows share are counted pair by pair; the others by products of so many columns.
+DENSE, COLUMNS = 8, 2048
+#: Similarities this near the threshold are computed again in double precision.
+CLOSE = 1e-4
 #: Entries of the table of sampling variables, a power of two.
 TABLE_BITS = 20
 
@@ -199,6 +208,102 @@ def _verified(batches: Iterator[pa.RecordBatch], idf: tuple[np.ndarray, np.ndarr
         yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["a", "b"])
 
 
+def blocks(n: Column) -> Column:
+    return F.ceil(n / F.lit(TILE)).cast("int")
+
+
+def _tiles() -> list[Column]:
+    """The tiles of a bucket's member. Blocks are numbered, strays' first; a tile is a pair of blocks with a stray one: (lesser, greater)."""
+    stray = F.col("component") != F.col("main")
+    own = F.when(stray, F.pmod(F.xxhash64("_k"), F.col("strays"))).otherwise(F.col("strays") + F.pmod(F.xxhash64("_k"), F.greatest("mains", F.lit(1)))).cast("int")
+    others = F.when(stray, F.sequence(F.lit(0), F.col("strays") + F.col("mains") - 1)).otherwise(F.sequence(F.lit(0), F.col("strays") - 1))
+    return [F.transform(others, lambda x: F.least(own, x).cast("long") * (1 << 31) + F.greatest(own, x)).alias("tiles")]
+
+
+def shared_weights(sets: list[tuple[np.ndarray, np.ndarray]], tf: list[np.ndarray]) -> np.ndarray:
+    """Sums of the lesser weights for all pairs of rows. The n-th occurrence of a shingle is a column of its own, so minima become products."""
+    n = len(sets)
+    row = np.repeat(np.arange(n), [int(t.sum()) for t in tf])
+    h = np.concatenate([np.repeat(s[0], t) for s, t in zip(sets, tf, strict=True)])
+    nth = np.concatenate([np.arange(int(t.sum())) - np.repeat(np.cumsum(t) - t, t) for t in tf])
+    w = np.concatenate([np.repeat(s[1] / t, t) for s, t in zip(sets, tf, strict=True)])
+    order = np.lexsort((nth, h))
+    row, h, nth, w = row[order], h[order], nth[order], w[order]
+    new = np.append(True, (h[1:] != h[:-1]) | (nth[1:] != nth[:-1]))
+    at = np.flatnonzero(new)
+    count = np.diff(np.append(at, len(h)))
+    out = np.zeros((n, n), np.float32)
+    least = DENSE if n > 64 else 2
+    for c in range(2, least):
+        some = at[count == c]
+        for i in range(c):
+            for j in range(i + 1, c):
+                np.add.at(out, (row[some + i], row[some + j]), w[some])
+                np.add.at(out, (row[some + j], row[some + i]), w[some])
+    many = np.flatnonzero(count >= least)
+    for i in range(0, len(many), COLUMNS):
+        cols = many[i : i + COLUMNS]
+        k = count[cols]
+        src = np.repeat(at[cols] - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))
+        m = np.zeros((n, len(cols)), np.float32)
+        m[row[src], np.repeat(np.arange(len(cols)), k)] = 1
+        out += (m * w[at[cols]].astype(np.float32)) @ m.T
+    return out
+
+
+def forest(n: int, component: np.ndarray, pairs: np.ndarray) -> list[int]:
+    """Indices of pairs that join what is not yet joined."""
+    up, head = list(range(n)), {}
+    for i, c in enumerate(component.tolist()):
+        up[i] = head.setdefault(c, i)
+
+    def find(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    out = []
+    for p, (i, j) in enumerate(pairs.tolist()):
+        a, b = find(i), find(j)
+        if a != b:
+            up[max(a, b)] = min(a, b)
+            out.append(p)
+    return out
+
+
+def _tile_links(idf: tuple[np.ndarray, np.ndarray], similarity: float):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        # A document stands in many tiles of the group: its shingles are made once.
+        once = pdf.drop_duplicates("_k")
+        made = {}
+        keys = once["_k"].to_numpy()
+        for first, raw, offsets in buffers(pa.array(once["text"], pa.large_string())):
+            row, h, tf = shingles(raw, offsets, SHINGLE)
+            w = weights(h, tf, idf)
+            cut = np.searchsorted(row, np.arange(len(offsets)))
+            for i in range(len(offsets) - 1):
+                s = slice(cut[i], cut[i + 1])
+                made[int(keys[first + i])] = (h[s], w[s]), tf[s]
+        found = []
+        for _, t in pdf.groupby(["bucket", "tile"], sort=False):
+            k, component = t["_k"].to_numpy(), t["component"].to_numpy()
+            if (component == component[0]).all():
+                continue
+            sets, tf = zip(*(made[int(x)] for x in k), strict=True)
+            least = shared_weights(list(sets), list(tf))
+            total = np.array([s[1].sum() for s in sets])
+            most = total[:, None] + total[None, :] - least
+            part = np.where(most > 0, least / np.where(most > 0, most, 1), 0)
+            pairs = np.argwhere(np.triu((part >= similarity - CLOSE) & (component[:, None] != component[None, :]), 1))
+            sure = [part[i, j] > similarity + CLOSE or jaccard(sets[i], sets[j]) >= similarity for i, j in pairs.tolist()]
+            pairs = pairs[np.array(sure, bool)]
+            found += [(int(k[i]), int(k[j])) for i, j in pairs[forest(len(k), component, pairs)].tolist()]
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return run
+
+
 def classes(docs: DataFrame, similarity: float = SIMILARITY, scratch: Scratch | None = None) -> DataFrame:
     """``_k, doc_id, component`` for every row of ``docs(doc_id, text)``: the class's least key stands for it."""
     scratch = scratch or Scratch(docs.sparkSession)
@@ -223,17 +328,24 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, scratch: Scratch |
     links = scratch.save(verify(star), "links_1")
     cc = scratch.save(connected_components(links, scratch, "cc_1"), "components_1")
     where = entries.join(cc.withColumnRenamed("node", "_k"), "_k", "left").select("bucket", "_k", F.coalesce("component", "_k").alias("component"))
-    parts = where.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
-    largest = parts.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("m"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    open_ = scratch.save(where.join(largest.select("bucket", F.col("m.component").alias("main")), "bucket"), "open")
-    strays = open_.where("component <> main").select("bucket", F.col("_k").alias("a"), F.col("component").alias("ca"))
-    more = strays.join(open_.select("bucket", F.col("_k").alias("b"), F.col("component").alias("cb")), "bucket").where("ca <> cb")
-    more = more.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    links = links.union(scratch.save(verify(more), "links_2"))
+    counts = where.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("_k")).alias("h1"), F.bit_xor(F.xxhash64(F.lit(1), "_k")).alias("h2"))
+    buckets = counts.groupBy("bucket").agg(
+        F.max(F.struct("n", "component")).alias("m"), F.count(F.lit(1)).alias("parts"), F.sum("n").alias("n"), F.bit_xor("h1").alias("h1"), F.bit_xor("h2").alias("h2")
+    ).where("parts > 1")
+    # Of buckets with the same members one is enough.
+    buckets = buckets.groupBy("n", "h1", "h2").agg(F.min(F.struct("bucket", "m")).alias("b")).select(
+        "b.bucket", F.col("b.m.component").alias("main"), blocks(F.col("b.m.n")).alias("mains"), blocks(F.col("n") - F.col("b.m.n")).alias("strays")
+    )
+    tiles = scratch.save(where.join(buckets, "bucket").select("bucket", "_k", "component", *_tiles()), "tiles")
+    tiles = tiles.select("bucket", "_k", "component", F.explode("tiles").alias("tile"))
+    parts = max(1, -(-tiles.count() // TILES_ROWS))
+    tiles = tiles.withColumn("part", F.pmod(F.xxhash64("bucket", "tile"), F.lit(parts))).join(texts, "_k")
+    more = tiles.groupBy("part").applyInPandas(_tile_links(idf, similarity), "a long, b long")
+    links = links.union(scratch.save(more, "links_2"))
     cc = scratch.save(connected_components(links, scratch, "cc_2"), "components_2")
     copies = sig.join(first.select("same", F.col("_k").alias("node")), "same").select("_k", "node")
     out = copies.join(cc, "node", "left").select("_k", F.coalesce("component", "node").alias("component"))
-    scratch.drop("texts", "shared", "open", "star")
+    scratch.drop("texts", "shared", "tiles", "star")
     return base.select("_k", "doc_id").join(out, "_k")
 
 
