@@ -61,7 +61,8 @@ def dedup(docs: DataFrame, min_lines: int = MIN_LINES, scratch: Scratch | None =
     gone = repeated_lines(base.select("_k", "text"), min_lines, scratch).groupBy("_k").agg(F.collect_set("line").alias("_gone"))
     gone = scratch.save(gone, "gone")
     scratch.drop("lines", "at_1", *(f"pairs_{i}" for i in range(1, min_lines)))
-    out = base.join(gone, "_k", "left")
+    # Texts are dealt out by key at any size: no switch to a broadcast where few documents lose lines.
+    out = base.join(gone.hint("merge"), "_k", "left")
     parts = F.split("text", "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_gone"))
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n"))
