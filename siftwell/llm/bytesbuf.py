@@ -11,8 +11,8 @@ import pyarrow.compute as pc
 U64 = np.uint64
 #: Odd multipliers of the polynomial hashes modulo 2 ** 64.
 BASE, WORD = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
-#: Bytes of text that are hashed at once, unless one text is longer.
-AT_ONCE = 1 << 20
+#: Bytes of text that are hashed at once, unless one text is longer, and rows whose texts are copied at once.
+AT_ONCE, ROWS_AT_ONCE = 1 << 18, 512
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -46,20 +46,19 @@ def inverse(base: int) -> int:
 
 def buffers(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """``(first row, bytes, offsets)`` for runs of rows of about ``AT_ONCE`` bytes; null counts as empty."""
-    column = pc.fill_null(column, "").cast(pa.large_string())
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    n = len(column)
-    if not n:
-        return
-    _, offs, data = column.buffers()
-    offsets = np.frombuffer(offs, np.int64)[column.offset : column.offset + n + 1]
-    raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
-    row = 0
-    while row < n:
-        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + AT_ONCE, side="right")) - 1)
-        yield row, raw[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
-        row = end
+    for i in range(0, len(column), ROWS_AT_ONCE):
+        part = pc.fill_null(column.slice(i, ROWS_AT_ONCE), "").cast(pa.large_string())
+        if isinstance(part, pa.ChunkedArray):
+            part = part.combine_chunks()
+        n = len(part)
+        _, offs, data = part.buffers()
+        offsets = np.frombuffer(offs, np.int64)[part.offset : part.offset + n + 1]
+        raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+        row = 0
+        while row < n:
+            end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + AT_ONCE, side="right")) - 1)
+            yield i + row, raw[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
+            row = end
 
 
 _SPACE = np.zeros(256, bool)

@@ -2,14 +2,15 @@
 
 Every byte goes that a ``LENGTH``-byte string covers which also starts earlier in the corpus.
 
-1. Anchors: in each window of ``LENGTH`` bytes the ``GRAM``-byte gram of least hash is selected.
-   Equal windows select the same grams, so only grams that occur again matter. They are
-   found per hash bucket, from one entry per block of documents and gram.
-2. Contexts: the bytes around such an anchor, of all windows that hold it. Equal contexts are
-   counted once per block and once per bucket; all but the first occurrence go as a whole.
+1. Anchors: each window of ``LENGTH`` bytes selects its ``GRAM``-byte gram of least hash, the first
+   of equal ones. Equal windows select the same gram, so only grams that occur again matter.
+   They are found per hash bucket, from one entry per block of documents and gram.
+2. Contexts: the bytes of all windows that select such an anchor. Equal contexts are counted
+   once per block and once per bucket; all but the first occurrence go as a whole.
 3. Different contexts of one anchor are joined to one text per bucket. On its Burrows-Wheeler
-   transform all intervals are extended backwards level by level; common prefixes appear by
-   increasing value, up to ``LENGTH``. In each interval of that depth all windows but the first go.
+   transform the intervals of strings that occur again are extended backwards, breadth first;
+   common prefixes appear by increasing value, up to ``LENGTH``. In each interval of that depth
+   all windows but the first go.
 
 No group of copies meets in one task: a bucket gets an anchor once per block of documents.
 
@@ -44,8 +45,11 @@ FINER = 5
 #: Anchors that one block holds, about.
 BLOCK_ANCHORS = 400_000
 
-ENTRY = np.dtype([("g", "<u8"), ("row", "<u4"), ("off", "<u4")])
-PLACE = np.dtype([("row", "<u4"), ("off", "<u4")])
+#: An anchor stands at ``off``; the windows that select it start from ``off - before`` to ``off - after``.
+ANCHOR = [("off", "<u4"), ("before", "u1"), ("after", "u1")]
+ENTRY = np.dtype([("g", "<u8"), ("row", "<u4"), *ANCHOR])
+PLACE = np.dtype([("row", "<u4"), *ANCHOR])
+OFFSET = np.dtype(ANCHOR)
 CONTEXT = np.dtype([("g", "<u8"), ("c", "<u8"), ("k", "<i8"), ("off", "<u4"), ("left", "u1"), ("size", "u1")])
 #: In an entry's row: its gram occurs again in the same block.
 KNOWN = 1 << 31
@@ -70,15 +74,14 @@ def _hash(total: np.ndarray, start: np.ndarray | slice, end: np.ndarray | slice,
     return mix((total[end] - total[start]) * powers(inverse(BASE), n + 1)[start])
 
 
-def anchors(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, offset and hash of the grams that some window of ``LENGTH`` bytes within a row selects."""
+def anchors(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, offset, before, after and hash of the grams that windows of ``LENGTH`` bytes within a row select."""
     n = len(raw)
     none = np.zeros(0, np.int64)
     if n < LENGTH:
-        return none, none, np.zeros(0, U64)
-    total = _prefix(raw)
-    g = _hash(total, slice(0, n - GRAM + 1), slice(GRAM, n + 1), n)
-    short = (g >> U64(32)).astype(np.uint32)
+        return none, none, none, none, np.zeros(0, U64)
+    g = _hash(_prefix(raw), slice(0, n - GRAM + 1), slice(GRAM, n + 1), n)
+    short = np.maximum((g >> U64(32)).astype(np.uint32), np.uint32(1))
     least = _sliding(short, SPAN, np.minimum)
     ok = np.zeros(n - LENGTH + 2, np.int8)
     size = np.diff(offsets)
@@ -86,15 +89,25 @@ def anchors(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     np.add.at(ok, offsets[has], 1)
     np.add.at(ok, offsets[has] + size[has] - LENGTH + 1, -1)
     valid = np.cumsum(ok[:-1]).astype(bool)
-    # A gram is selected if it is the least of a valid window: if the greatest minimum around is its hash.
-    # Invalid windows count as 0; a gram of hash 0 is selected in vain at worst.
-    held = np.where(valid, least, np.uint32(0))
+    # A gram can be selected if the greatest least value of the valid windows around is its own; invalid ones count as 0.
     pad = np.zeros(SPAN - 1, np.uint32)
-    around = _sliding(np.concatenate([pad, held, pad]), SPAN, np.maximum)
-    pos = np.flatnonzero((around[: len(short)] == short) & (short > 0))
-    row = np.searchsorted(offsets, pos, side="right") - 1
+    around = _sliding(np.concatenate([pad, np.where(valid, least, np.uint32(0)), pad]), SPAN, np.maximum)
+    can = around[: len(short)] == short
+    pos = np.flatnonzero(can)
+    window = np.flatnonzero(valid)
+    # Of each window: the first such gram from its start on that has its least value.
+    which = (np.cumsum(can) - can)[window]
+    wrong = np.flatnonzero(short[pos[which]] != least[window]) if len(window) else none
+    while len(wrong):
+        which[wrong] += 1
+        wrong = wrong[short[pos[which[wrong]]] != least[window[wrong]]]
+    first = np.flatnonzero(np.append(True, which[1:] != which[:-1])) if len(window) else none
+    last = np.append(first[1:], len(which)) - 1 if len(window) else none
+    pos = pos[which[first]]
     # Rows without bytes share an offset with the next one; searchsorted takes the last of them.
-    return row, pos - offsets[row], g[pos]
+    row = np.searchsorted(offsets, pos, side="right") - 1
+    # Least hashes are small ones: mixed again, so that they spread over the buckets.
+    return row, pos - offsets[row], pos - window[first], pos - window[last], mix(g[pos])
 
 
 def _bits(bucket_bits: int, g: np.ndarray) -> np.ndarray:
@@ -119,6 +132,13 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(block, pa.int64()), pa.array(bucket, pa.int64()), pa.array(payload, pa.binary())], names=["kind", "block", "bucket", "payload"])
 
 
+def _places(e: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(e), PLACE)
+    for name in PLACE.names:
+        out[name] = e[name]
+    return out
+
+
 def _find(batches: Iterator[pa.RecordBatch], bucket_bits: int) -> Iterator[pa.RecordBatch]:
     keys: list[np.ndarray] = []
     parts: list[tuple[np.ndarray, ...]] = []
@@ -126,15 +146,14 @@ def _find(batches: Iterator[pa.RecordBatch], bucket_bits: int) -> Iterator[pa.Re
 
     def flush() -> pa.RecordBatch:
         block = int.from_bytes(os.urandom(8), "little") >> 1
-        row, off, g = (np.concatenate(x) for x in zip(*parts, strict=True))
+        row, off, before, after, g = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.lexsort((off, row, g))
         e = np.zeros(len(g), ENTRY)
-        e["g"], e["row"], e["off"] = g[order], row[order], off[order]
+        e["g"], e["row"], e["off"], e["before"], e["after"] = g[order], row[order], off[order], before[order], after[order]
         first = np.append(True, e["g"][1:] != e["g"][:-1]) if len(e) else np.zeros(0, bool)
         n = np.diff(np.append(np.flatnonzero(first), len(e)))
         again = np.repeat(n > 1, n)
-        places = np.zeros(int(again.sum()), PLACE)
-        places["row"], places["off"] = e["row"][again], e["off"][again]
+        places = _places(e[again])
         e["row"][again] |= KNOWN
         e = e[first]
         out = [(KEYS, block, 0, np.concatenate(keys).tobytes()), (PLACES, block, 0, places.tobytes())]
@@ -144,8 +163,8 @@ def _find(batches: Iterator[pa.RecordBatch], bucket_bits: int) -> Iterator[pa.Re
     for b in batches:
         ids = b.column(0).to_numpy()
         for first, raw, offsets in buffers(b.column(1)):
-            row, off, g = anchors(raw, offsets)
-            parts.append((row + rows, off, g))
+            row, off, before, after, g = anchors(raw, offsets)
+            parts.append((row + rows, off, before, after, g))
             keys.append(ids[first : first + len(offsets) - 1])
             rows, held = rows + len(offsets) - 1, held + len(g)
             if held > BLOCK_ANCHORS:
@@ -167,8 +186,7 @@ def _again(pdf: pd.DataFrame) -> pd.DataFrame:
     e, block = e[keep], block[keep]
     order = np.argsort(block, kind="stable")
     e, block = e[order], block[order]
-    places = np.zeros(len(e), PLACE)
-    places["row"], places["off"] = e["row"], e["off"]
+    places = _places(e)
     ids = pdf["block"].to_numpy()
     rows = [(PLACES, int(ids[b]), 0, places[s].tobytes()) for b, s in _cut(block)]
     return pd.DataFrame(rows, columns=["kind", "block", "bucket", "payload"])
@@ -179,7 +197,10 @@ def _by_document(pdf: pd.DataFrame) -> pd.DataFrame:
     keys = np.frombuffer(pdf.loc[pdf["kind"] == KEYS, "payload"].iloc[0], np.int64)
     p = np.concatenate([np.frombuffer(x, PLACE) for x in pdf.loc[pdf["kind"] == PLACES, "payload"]])
     p = p[np.lexsort((p["off"], p["row"]))]
-    rows = [(int(keys[r]), p["off"][s].tobytes()) for r, s in _cut(p["row"].astype(np.int64))]
+    offs = np.zeros(len(p), OFFSET)
+    for name in OFFSET.names:
+        offs[name] = p[name]
+    rows = [(int(keys[r]), offs[s].tobytes()) for r, s in _cut(p["row"].astype(np.int64))]
     return pd.DataFrame(rows, columns=["_k", "offs"])
 
 
@@ -201,16 +222,16 @@ def _contexts_of(b: pa.RecordBatch, bucket_bits: int) -> Iterator[pa.RecordBatch
     ids, offs = b.column(0).to_numpy(), b.column(2)
     parts, blobs = [], []
     for first, raw, offsets in buffers(b.column(1)):
-        own = [np.frombuffer(offs[first + i].as_py(), "<u4").astype(np.int64) for i in range(len(offsets) - 1)]
+        own = [np.frombuffer(offs[first + i].as_py(), OFFSET) for i in range(len(offsets) - 1)]
         row = np.repeat(np.arange(len(own)), [len(x) for x in own])
         if not len(row):
             continue
-        pos = offsets[row] + np.concatenate(own)
-        start = np.maximum(offsets[row], pos - (SPAN - 1))
-        end = np.minimum(offsets[row + 1], pos + LENGTH)
+        at = np.concatenate(own)
+        pos = offsets[row] + at["off"]
+        start, end = pos - at["before"], pos - at["after"] + LENGTH
         total = _prefix(raw)
         x = np.zeros(len(pos), CONTEXT)
-        x["g"] = _hash(total, pos, pos + GRAM, len(raw))
+        x["g"] = mix(_hash(total, pos, pos + GRAM, len(raw)))
         x["left"], x["size"] = pos - start, end - start
         x["c"] = mix(_hash(total, start, end, len(raw)) + x["left"].astype(U64) * U64(257) + x["size"].astype(U64))
         x["k"], x["off"] = ids[first + row], start - offsets[row]
@@ -237,60 +258,79 @@ def _contexts_of(b: pa.RecordBatch, bucket_bits: int) -> Iterator[pa.RecordBatch
         yield _batch(out[i : i + 4096])
 
 
-def suffix_order(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions ordered by their first ``depth`` symbols at least, and where a position's first 8 bytes differ from its predecessor's."""
+def suffix_order(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix array by prefix doubling from 8 bytes on, and where a suffix's first 8 bytes differ from its predecessor's."""
     n = len(text)
     padded = np.concatenate([text, np.zeros(8, np.uint8)]).astype(U64)
     key = np.zeros(n, U64)
     for i in range(8):
         key = (key << U64(8)) | padded[i : i + n]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     sorted_key = key[order]
     new = np.append(True, sorted_key[1:] != sorted_key[:-1])
     eight = new.copy()
-    rank = np.zeros(n, np.int64)
-    have = 8
-    while True:
-        head = np.flatnonzero(new)
-        rank[order] = np.repeat(head, np.diff(np.append(head, n)))
-        if have >= depth:
-            return order, eight
-        # Only positions whose prefix is still shared are ordered further.
-        tied = ~(new & np.append(new[1:], True))
-        at = np.flatnonzero(tied)
-        if not len(at):
-            return order, eight
-        p = order[at]
-        nxt = np.where(p + have < n, rank[np.minimum(p + have, n - 1)], -1)
-        again = np.lexsort((nxt, rank[p]))
-        order[at] = p[again]
-        nxt, own = nxt[again], rank[p[again]]
-        new[at] = np.append(True, (own[1:] != own[:-1]) | (nxt[1:] != nxt[:-1]))
+    rank, have = np.zeros(n, np.int64), 8
+    head = np.flatnonzero(new)
+    rank[order] = np.repeat(head, np.diff(np.append(head, n)))
+    tied = np.flatnonzero(~(new & np.append(new[1:], True)))
+    while len(tied) and have < n:
+        # Only suffixes whose prefix is still shared are ordered further.
+        p = order[tied]
+        nxt = np.where(p + have < n, rank[np.minimum(p + have, n - 1)], -1) + 1
+        both = (rank[p] << 32) | nxt
+        again = np.argsort(both)
+        p, both = p[again], both[again]
+        order[tied] = p
+        fresh = np.append(True, both[1:] != both[:-1])
+        # A group's rank is the place of its first member.
+        rank[p] = np.repeat(tied[fresh], np.diff(np.append(np.flatnonzero(fresh), len(p))))
+        tied = tied[~(fresh & np.append(fresh[1:], True))]
         have *= 2
+    return order, eight
 
 
-def interval_heads(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix order and the heads of its intervals of common prefixes of ``depth`` symbols.
+def repeated_intervals(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Suffix array and the intervals (first, last) of all strings of ``depth`` symbols that occur again.
 
-    Breadth first by depth: the interval of a string ``cw`` is the image under the last-to-first map
-    of the rows of ``w``'s interval whose Burrows-Wheeler symbol is ``c``. Two neighbours in the image share
-    ``level + 1`` symbols iff no head of level ``level`` lies between their preimages.
+    Breadth first by depth: the interval of ``cw`` is the image under the last-to-first map of the rows of
+    ``w``'s interval whose Burrows-Wheeler symbol is ``c``. Strings that occur once are dropped, as
+    is all that would extend them.
     """
     n = len(text)
-    order, head = suffix_order(text, depth)
-    inverse_order = np.empty(n, np.int64)
-    inverse_order[order] = np.arange(n)
-    pre = np.where(order + 1 < n, inverse_order[np.minimum(order + 1, n - 1)], -1)  # preimage under the last-to-first map
-    open_ = np.flatnonzero(~head)
+    order, eight = suffix_order(text)
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
+    before = text[order - 1].astype(np.int16)
+    before[place[0]] = 256  # the whole text has no symbol before it
+    to_first = place[order - 1]
+    run_head = np.append(True, before[1:] != before[:-1])
+    run = np.cumsum(run_head) - 1
+    run_start = np.flatnonzero(run_head)
+    run_end = np.append(run_start[1:], n) - 1
+    low = np.flatnonzero(eight)
+    high = np.append(low[1:], n) - 1
+    low, high = low[high > low], high[high > low]
     for _ in range(8, depth):
-        if not len(open_):
+        if not len(low):
             break
-        seen = np.cumsum(head)
-        a, b = pre[open_ - 1], pre[open_]
-        split = (a < 0) | (b < 0) | (seen[a] != seen[b])
-        head[open_[split]] = True
-        open_ = open_[~split]
-    return order, head
+        a, b = run[low], run[high]
+        unary = a == b
+        f, t = low[unary], high[unary]
+        mixed = np.flatnonzero(~unary)
+        if len(mixed):
+            k = b[mixed] - a[mixed] + 1
+            own = np.repeat(mixed, k)
+            r = np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k) + a[own]
+            start, end = np.maximum(low[own], run_start[r]), np.minimum(high[own], run_end[r])
+            key = own * 512 + before[start]
+            by = np.argsort(key, kind="stable")
+            key, start, end = key[by], start[by], end[by]
+            one = np.append(True, key[1:] != key[:-1])
+            at = np.flatnonzero(one)
+            f, t = np.concatenate([f, start[at]]), np.concatenate([t, end[np.append(at[1:], len(key)) - 1]])
+        some = (f < t) & (before[f] < 256)
+        low, high = to_first[f[some]], to_first[t[some]]
+    return order, low, high
 
 
 def _bucket(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -317,15 +357,17 @@ def _bucket(pdf: pd.DataFrame) -> pd.DataFrame:
         text = np.zeros(len(own), np.uint8)
         real = inside < x["size"][own]
         text[real] = raw[(x["at"][own] + inside)[real]]
-        order, heads = interval_heads(text, LENGTH)
-        group = np.cumsum(heads)
-        window = (x["size"][own] - inside >= LENGTH)[order]
-        p, group = order[window], group[window]
+        order, low, high = repeated_intervals(text, LENGTH)
+        count = high - low + 1
+        group = np.repeat(np.arange(len(low)), count)
+        p = order[np.repeat(low - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))]
+        window = x["size"][own[p]] - inside[p] >= LENGTH
+        p, group = p[window], group[window]
         k, at = x["k"][own[p]], x["off"][own[p]] + inside[p]
         by = np.lexsort((at, k, group))
         k, at, group = k[by], at[by], group[by]
         # The same window may stand in several contexts: only another place is a copy.
-        lead = np.append(True, group[1:] != group[:-1])
+        lead = np.append(True, group[1:] != group[:-1])[: len(group)]
         src = np.repeat(np.flatnonzero(lead), np.diff(np.append(np.flatnonzero(lead), len(lead))))
         copy = (k != k[src]) | (at != at[src])
         out_k.append(k[copy])

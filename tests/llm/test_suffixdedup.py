@@ -50,11 +50,10 @@ def test_intervals(alphabet):
     rng = np.random.default_rng(alphabet)
     text = rng.integers(97, 97 + alphabet, 700).astype(np.uint8)
     text = np.concatenate([text, text[100:400], [0]]).astype(np.uint8)
-    order, head = suffixdedup.interval_heads(text, 100)
-    group = np.empty(len(text), int)
-    group[order] = np.cumsum(head)
+    order, low, high = suffixdedup.repeated_intervals(text, 100)
     raw, by = text.tobytes(), {}
+    assert [raw[i:] for i in order] == sorted(raw[i:] for i in range(len(raw)))
     for i in range(len(raw) - 100 + 1):
-        by.setdefault(raw[i : i + 100], set()).add(int(group[i]))
-    assert all(len(v) == 1 for v in by.values())
-    assert len({next(iter(v)) for v in by.values()}) == len(by)
+        by.setdefault(raw[i : i + 100], set()).add(i)
+    got = [{int(i) for i in order[a : b + 1] if i <= len(raw) - 100} for a, b in zip(low, high)]
+    assert sorted(map(sorted, filter(lambda s: len(s) > 1, got))) == sorted(sorted(v) for v in by.values() if len(v) > 1)
