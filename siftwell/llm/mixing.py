@@ -147,5 +147,5 @@ def mixed_rows(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), share: f
     taken = mix(base.select(F.col("_k").alias("doc_id"), "text", "source"), weights, share, most, seed, scratch)
     times = F.when(F.col("size") == 0, 1).otherwise((F.col("taken") / F.col("size")).cast("int"))
     taken = scratch.save(taken.select(F.col("doc_id").alias("_k"), times.alias("_times")), "mix_taken")
-    out = base.join(taken.where("_times > 0"), "_k")
+    out = base.join(taken.where("_times > 0").hint("merge"), "_k")  # texts are dealt out by key at any size
     return out.withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)

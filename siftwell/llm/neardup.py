@@ -315,7 +315,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, scratch: Scratch |
     heads = entries.groupBy("bucket").agg(F.min("_k").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     entries = scratch.save(entries.join(heads, "bucket"), "shared")
     scratch.drop("entries")
-    texts = base.join(entries.select("_k").distinct(), "_k", "left_semi").select("_k", "text")
+    texts = base.join(entries.select("_k").distinct().hint("merge"), "_k", "left_semi").select("_k", "text")
     texts = scratch.save(texts, "texts")
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -362,4 +362,4 @@ def keep_first(docs: DataFrame, similarity: float = SIMILARITY, scratch: Scratch
     base = keyed(docs, scratch)
     # The key stands in for the id, so that both sides agree on it where ids repeat.
     c = classes(base.select(F.col("_k").alias("doc_id"), "text"), similarity, scratch)
-    return base.join(c.where("_k = component").select("_k"), "_k", "left_semi").select(*docs.columns)
+    return base.join(c.where("_k = component").select("_k").hint("merge"), "_k", "left_semi").select(*docs.columns)
