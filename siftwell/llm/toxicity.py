@@ -3,9 +3,12 @@
 Words become symbols (insult, threat, target, negation, reported speech, other). Small
 transducers rewrite them in turn: negation and reported speech mark the insults and
 threats in their scope, the threat transducer needs a target, and the last one turns each
-clause into one of ``KINDS``. They are composed into one machine. A document's score is a
-logistic function of its counts of matched clauses by kind, with weights learned from
-labelled rows; labels, language, source and id are no inputs.
+clause into one of ``KINDS``. They are composed into one machine. The lists hold few words of
+few languages, so further insults are learned as weighted stems (a lexicon) from the labelled rows
+outside the held-out fold; the first transducers leave out those that are negated or reported. A
+document's score is a logistic function of its counts of matched clauses by kind and of the
+learned words' weight, in all and as a share of its words, with weights learned from the same
+rows; labels, language, source and id are no inputs.
 
 Defined cases: null or empty text matches no clause and gets the score of such texts; texts of
 any length are read whole, clause by clause; repeated rows get equal scores.
@@ -13,7 +16,9 @@ any length are read whole, clause by clause; repeated rows get equal scores.
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import partial
 
@@ -22,7 +27,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from siftwell.llm.common import Scratch
 
@@ -40,10 +45,18 @@ NEGATIONS = "not never no isn't aren't wasn't don't doesn't won't nicht kein kei
 REPORTED = "said says called wrote quoted reported claimed sagte schrieb nannte dit écrit appelé dijo escribió llamó".split()
 
 KINDS = ("insult_target", "insult_bare", "threat_target", "negated", "reported")
-#: Clause counts above this count as this much; so there are at most (MOST + 1) ** 5 distinct feature rows.
+#: What the learned stems add: levels of their weight in the whole text and in 100 of its words.
+LEARNED = ("learned", "learned_share")
+#: Counts and levels above this count as this much; so there are at most (MOST + 1) ** 7 distinct feature rows.
 MOST = 3
+#: A stem is a word's first 4 to 12 letters, or a whole word, which ends in "$".
+STEM = (4, 12)
+#: Stems are learned that this share of the toxic rows hold, in this many rows at least, with this G^2 and these log-odds at least; the best by G^2.
+STEM_SHARE, STEM_ROWS, STEM_G2, STEM_ODDS, STEMS = 0.01, 3, 30.0, 1.5, 256
+#: Log-odds from which a stem weighs 1, and partial counts that a task holds at once.
+FULL_ODDS, HELD = 4.0, 300_000
 #: Log-odds before any label is seen, and how many rows' worth of curvature they weigh: kinds without labelled examples keep them.
-PRIOR, PRIOR_BIAS, RIDGE = (4.0, 3.0, 4.0, -0.5, 1.0), -2.5, 0.3
+PRIOR, PRIOR_BIAS, RIDGE = (4.0, 3.0, 4.0, -0.5, 1.0, 0.0, 0.0), -2.5, 0.3
 
 
 class Transducer:
@@ -129,7 +142,8 @@ def clause() -> Transducer:
     return Transducer(arcs)
 
 
-MACHINE = negation().compose(reported()).compose(threat()).compose(clause())
+SCOPE = negation().compose(reported())
+MACHINE = SCOPE.compose(threat()).compose(clause())
 SYMBOLS = {w: s for s, words in (("G", TARGETS), ("R", REPORTED), ("N", NEGATIONS), ("T", THREATS), ("I", INSULTS)) for w in words}
 TRIGGER = r"(?i)(^|[^\pL\pN_])(" + "|".join(INSULTS + THREATS) + r")($|[^\pL\pN_])"
 _HIT = re.compile(r"(?<!\w)(?:" + "|".join(INSULTS + THREATS) + r")(?!\w)", re.IGNORECASE)
@@ -137,6 +151,28 @@ _END = re.compile(r"[.!?;\n]+(?=\s|$)|\n")
 _WORD = re.compile(r"\w+(?:'\w+)?")
 
 
+def words(text: str) -> list[str]:
+    return _WORD.findall(text.replace("’", "'").lower())
+
+
+def stems(word: str) -> list[str]:
+    """What a lexicon can know a word by; nothing for words of the lists."""
+    return [] if word in SYMBOLS else [word + "$", *(word[:k] for k in range(STEM[0], min(len(word), STEM[1]) + 1))]
+
+
+def learned(text: str | None, lexicon: dict[str, float]) -> list[int]:
+    """Levels of ``LEARNED``: 0 below a weight of 1, then one more for each doubling. Negated and reported words weigh nothing."""
+    total, n = 0.0, 0
+    for part in _END.split(text or ""):
+        ws = words(part)
+        n += len(ws)
+        weight = [max((lexicon[s] for s in stems(w) if s in lexicon), default=0.0) for w in ws]
+        if any(weight):
+            marks = SCOPE.run(["I" if x else SYMBOLS.get(w, "X") for w, x in zip(ws, weight, strict=True)])
+            total += sum(x for x, m in zip(weight, marks, strict=True) if m == "I")
+    return [min(MOST, int(math.log2(x)) + 1) if x >= 1 else 0 for x in (total, 100 * total / max(1, n))]
+
+
 def match(text: str | None) -> list[int]:
     """Counts of matched clauses by kind, each at most ``MOST``. Only clauses with an insult or threat word are run."""
     counts = dict.fromkeys(KINDS, 0)
@@ -155,33 +191,105 @@ def match(text: str | None) -> list[int]:
                     break
             else:
                 ends, at = len(text), len(text)
-            words = _WORD.findall(text[begin:ends].replace("’", "'").lower())
-            kind = MACHINE.run([SYMBOLS.get(w, "X") for w in words] + ["#"])[-1]
+            kind = MACHINE.run([SYMBOLS.get(w, "X") for w in words(text[begin:ends])] + ["#"])[-1]
             if kind in counts:
                 counts[kind] += 1
     return [min(MOST, counts[k]) for k in KINDS]
 
 
-#: Columns of counts, named so that they clash with no column of the input.
-FEATURES = tuple(f"_tox_{k}" for k in KINDS)
+#: Columns of counts and levels, named so that they clash with no column of the input.
+FEATURES = tuple(f"_tox_{k}" for k in KINDS + LEARNED)
 
 
-def _features(batches: Iterator[pa.RecordBatch], keep_text: bool) -> Iterator[pa.RecordBatch]:
+def _features(batches: Iterator[pa.RecordBatch], lexicon: dict[str, float], keep_text: bool) -> Iterator[pa.RecordBatch]:
+    some = "|".join(s[:-1] + r"($|[^\pL\pN_])" if s.endswith("$") else s for s in sorted(lexicon))
     for b in batches:
         text = b.column("text")
-        hit = pc.fill_null(pc.match_substring_regex(text, TRIGGER), False).to_numpy(zero_copy_only=False)
-        f = np.zeros((b.num_rows, len(KINDS)), np.int32)
-        for i in np.flatnonzero(hit):
-            f[i] = match(text[i].as_py())
+        f = np.zeros((b.num_rows, len(FEATURES)), np.int32)
+        for i in np.flatnonzero(pc.fill_null(pc.match_substring_regex(text, TRIGGER), False).to_numpy(zero_copy_only=False)):
+            f[i, : len(KINDS)] = match(text[i].as_py())
+        if lexicon:
+            for i in np.flatnonzero(pc.fill_null(pc.match_substring_regex(text, rf"(?i)(^|[^\pL\pN_])({some})"), False).to_numpy(zero_copy_only=False)):
+                f[i, len(KINDS) :] = learned(text[i].as_py(), lexicon)
         names = [n for n in b.schema.names if keep_text or n != "text"]
-        yield pa.RecordBatch.from_arrays([b.column(n) for n in names] + [pa.array(f[:, j]) for j in range(len(KINDS))], names=[*names, *FEATURES])
+        yield pa.RecordBatch.from_arrays([b.column(n) for n in names] + [pa.array(f[:, j]) for j in range(len(FEATURES))], names=[*names, *FEATURES])
 
 
-def features(docs: DataFrame, keep_text: bool = False) -> DataFrame:
-    """Clause counts per row beside its other columns; the text goes unless ``keep_text``."""
+def features(docs: DataFrame, lexicon: dict[str, float], keep_text: bool = False) -> DataFrame:
+    """Clause counts and levels per row beside its other columns; the text goes unless ``keep_text``."""
     kept = [f for f in docs.schema.fields if keep_text or f.name != "text"]
     schema = StructType(kept + [StructField(k, IntegerType()) for k in FEATURES])
-    return docs.mapInArrow(partial(_features, keep_text=keep_text), schema)
+    return docs.mapInArrow(partial(_features, lexicon=lexicon, keep_text=keep_text), schema)
+
+
+def _stem_counts(batches: Iterator[pa.RecordBatch], wanted: frozenset[str] | None) -> Iterator[pa.RecordBatch]:
+    """``stem, once, twice``: rows that hold a word with the stem, and rows that hold two; partial counts."""
+    once, twice = Counter(), Counter()
+
+    def flush() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(list(once), pa.string()), pa.array(list(once.values()), pa.int64()), pa.array([twice[s] for s in once], pa.int64())], names=["stem", "once", "twice"])
+        once.clear()
+        twice.clear()
+        return out
+
+    for b in batches:
+        for t in b.column("text"):
+            here = Counter()
+            for w, n in Counter(words(t.as_py() or "")).items():
+                for s in stems(w):
+                    if wanted is None or s in wanted:
+                        here[s] += n
+            once.update(here.keys())
+            twice.update(s for s, n in here.items() if n > 1)
+            if len(once) > HELD:
+                yield flush()
+    yield flush()
+
+
+def stem_counts(docs: DataFrame, wanted: frozenset[str] | None = None) -> DataFrame:
+    schema = StructType([StructField("stem", StringType()), StructField("once", LongType()), StructField("twice", LongType())])
+    return docs.select("text").mapInArrow(partial(_stem_counts, wanted=wanted), schema).groupBy("stem").agg(F.sum("once").alias("once"), F.sum("twice").alias("twice"))
+
+
+def evidence(a: int, n: int, b: int, m: int) -> tuple[float, float]:
+    """G^2 and smoothed log-odds of ``a`` of ``n`` toxic against ``b`` of ``m`` clean rows."""
+    g = 0.0
+    for x, of, rate in ((a, n, (a + b) / (n + m)), (b, m, (a + b) / (n + m))):
+        g += sum(2 * k * math.log(k / (of * r)) for k, r in ((x, rate), (of - x, 1 - rate)) if k)
+    return g, math.log((a + 0.5) * (m - b + 0.5) / ((n - a + 0.5) * (b + 0.5)))
+
+
+def choose(rows: list[tuple[str, tuple[int, int], tuple[int, int]]], n: int, m: int) -> dict[str, float]:
+    """Weights of the best stems among ``(stem, toxic rows, clean rows)``, rows with one and with two such words; none begins another."""
+    found = []
+    for stem, toxic, clean in rows:
+        g, odds = max(evidence(a, n, b, m) if a * m > b * n else (0.0, 0.0) for a, b in zip(toxic, clean, strict=True))
+        if g >= STEM_G2 and odds >= STEM_ODDS:
+            found.append((-round(g, 6), -len(stem), stem, odds))
+    out = {}
+    for *_, stem, odds in sorted(found):
+        if len(out) < STEMS and not any(stem.startswith(s) or s.startswith(stem.rstrip("$")) for s in out):
+            out[stem] = min(1.0, odds / FULL_ODDS)
+    return out
+
+
+def lexicon(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> dict[str, float]:
+    """Stems and weights from all labelled rows outside the held-out fold.
+
+    At most (mean stems of a row) / ``STEM_SHARE`` candidates reach the driver; clean rows are counted for those only.
+    """
+    # Texts are dealt out by key at any size: no switch to a broadcast where few rows are labelled.
+    taught = docs.select("doc_id", "text").where(~fold("doc_id")).join(labels.where("toxic in (0, 1)").select("doc_id", "toxic").hint("merge"), "doc_id")
+    taught = scratch.save(taught.select("toxic", "text"), "toxicity_taught")
+    n = {r["toxic"]: r["count"] for r in taught.groupBy("toxic").count().collect()}
+    out = {}
+    if n.get(0) and n.get(1):
+        some = stem_counts(taught.where("toxic = 1")).where(F.col("once") >= max(STEM_ROWS, STEM_SHARE * n[1])).collect()
+        toxic = {r["stem"]: (r["once"], r["twice"]) for r in some}
+        clean = {r["stem"]: (r["once"], r["twice"]) for r in stem_counts(taught.where("toxic = 0"), frozenset(toxic)).collect()}
+        out = choose([(s, c, clean.get(s, (0, 0))) for s, c in toxic.items()], n[1], n[0])
+    scratch.drop("toxicity_taught")
+    return out
 
 
 def fit(rows: list[tuple[list[int], int, int]]) -> tuple[float, list[float]]:
@@ -212,7 +320,7 @@ def train(feats: DataFrame, labels: DataFrame) -> tuple[float, list[float]]:
     """Bias and weights from all labelled rows outside the held-out fold.
 
     ``labels(doc_id, toxic)``: labels other than 0 and 1 teach nothing. Equal feature rows
-    are counted together before they reach the driver: at most 2 * (MOST + 1) ** 5 rows.
+    are counted together before they reach the driver: at most 2 * (MOST + 1) ** 7 rows.
     """
     taught = feats.where(~fold("doc_id")).join(labels.where("toxic in (0, 1)").select("doc_id", "toxic"), "doc_id")
     rows = taught.groupBy(*FEATURES, "toxic").count().collect()
@@ -228,13 +336,14 @@ def probability(model: tuple[float, list[float]]) -> Column:
 
 def score(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
     """``doc_id``, ``held_out``, ``score`` and ``predicted`` for every row of ``docs(doc_id, text)``."""
-    f = scratch.save(features(docs.select("doc_id", "text")), "toxicity_features")
+    f = scratch.save(features(docs.select("doc_id", "text"), lexicon(docs, labels, scratch)), "toxicity_features")
     out = f.select("doc_id", fold("doc_id").alias("held_out"), probability(train(f, labels)).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
     """The rows that are not predicted toxic, with their own columns."""
-    f = scratch.save(features(docs.select("doc_id", "text")), "toxicity_features")
+    stems_by_weight = lexicon(docs, labels, scratch)
+    f = scratch.save(features(docs.select("doc_id", "text"), stems_by_weight), "toxicity_features")
     model = train(f, labels)
-    return features(docs, keep_text=True).where(probability(model) < 0.5).select(*docs.columns)
+    return features(docs, stems_by_weight, keep_text=True).where(probability(model) < 0.5).select(*docs.columns)

@@ -2,6 +2,7 @@ import pytest
 
 from siftwell.llm import toxicity
 from siftwell.llm.common import Scratch
+from tests.llm.conftest import words
 
 
 @pytest.mark.parametrize("text, kind", [
@@ -36,3 +37,25 @@ def test_held_out_accuracy_and_odd_rows(spark, docs, odd_rows, rng):
     assert kept.columns == docs([]).columns and kept.count() == len(rows) - 50
     assert toxicity.score(docs(odd_rows), labels, Scratch(spark)).count() == len(odd_rows)
     assert toxicity.score(docs([]), labels, Scratch(spark)).collect() == []
+
+
+def test_learns_words_that_no_list_holds(spark, docs, rng):
+    text = lambda i: " ".join(words(rng, 30).split() + ([f"wrzlstem{rng.choice('abcd')}", "wrzlstemx"] if i % 4 == 0 else [])) + "."
+    rows = [(i, text(i), "s") for i in range(300)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(300)], "doc_id long, toxic int")
+    assert all(toxicity.match(t) == [0] * 5 for _, t, _ in rows)
+    held = [r for r in toxicity.score(docs(rows), labels, Scratch(spark)).collect() if r["held_out"]]
+    assert held and all(r["predicted"] == int(r["doc_id"] % 4 == 0) for r in held)
+    assert {r["doc_id"] for r in toxicity.keep_clean(docs(rows), labels, Scratch(spark)).collect()} == {i for i in range(300) if i % 4}
+
+
+def test_scope_of_learned_words():
+    lexicon = {"wrzl": 1.0, "ab$": 1.0}
+    assert toxicity.learned("Wrzlig wrzl. Wrzlung ab", lexicon)[0] == 3
+    assert toxicity.learned("not wrzlig. She said ab. abc", lexicon) == [0, 0]
+    assert toxicity.learned(None, lexicon) == [0, 0]
+
+
+def test_chooses_stems_by_evidence():
+    rows = [("wrzl", (40, 38), (45, 2)), ("wrzla", (12, 9), (3, 0)), ("der$", (90, 80), (900, 800)), ("rare", (3, 0), (0, 0))]
+    assert list(toxicity.choose(rows, 100, 1000)) == ["wrzl"]
