@@ -7,7 +7,8 @@ prefix reaches the threshold. In each interval all suffixes but the first (least
 then line) start a repeated run; overlapping runs join into maximal ones and are deleted.
 
 Defined cases: null text stays null with 0 lines; blank lines neither match nor go;
-documents under ``min_lines`` lines lose nothing; repeated rows are documents of their own,
+documents under ``min_lines`` lines lose nothing, unless ``min_words`` lets shorter runs of so many words
+count too, down to one line, as in the pipeline; repeated rows are documents of their own,
 the later ones lose their lines; runs may overlap within one document.
 """
 
@@ -16,9 +17,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import WS, Scratch, keyed
+from siftwell.llm.common import WS, Scratch, keyed, n_words
 
 MIN_LINES = 3
+#: In the pipeline, shorter runs of so many words count as well.
+MIN_WORDS = 50
 
 
 def _ranks(groups: DataFrame, by: list[str], scratch: Scratch, name: str) -> DataFrame:
@@ -28,37 +31,52 @@ def _ranks(groups: DataFrame, by: list[str], scratch: Scratch, name: str) -> Dat
     return scratch.save(order.withColumn("rank", F.monotonically_increasing_id()), name)
 
 
-def repeated_lines(docs: DataFrame, min_lines: int, scratch: Scratch) -> DataFrame:
-    """``_k, line``: lines (numbers in the text) of ``docs(_k, text)`` that a later copy of a run covers."""
+def _later(at: DataFrame, length: int) -> DataFrame:
+    """``_k, s``: lines of all runs of ``at(_k, s, r)`` but the first of each rank."""
+    first = at.groupBy("r").agg(F.min(F.struct("_k", "s")).alias("first"))
+    later = at.join(first, "r").where("first._k <> _k or first.s <> s")
+    return later.select("_k", F.explode(F.sequence("s", F.col("s") + F.lit(length - 1))).alias("s"))
+
+
+def repeated_lines(docs: DataFrame, min_lines: int, scratch: Scratch, min_words: int | None = None) -> DataFrame:
+    """``_k, line``: lines (numbers in the text) of ``docs(_k, text)`` that a later copy of a run covers.
+
+    With ``min_words``, prefixes grow line by line, so that runs of each length under ``min_lines`` are seen.
+    """
     rows = F.filter(
-        F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("line"), F.xxhash64(x).alias("h1"), F.xxhash64(F.lit("line"), x).alias("h2"), x.rlike(rf"^{WS}*\z").alias("blank"))),
+        F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("line"), F.xxhash64(x).alias("h1"), F.xxhash64(F.lit("line"), x).alias("h2"), *([] if min_words is None else [n_words(x).alias("w")]), x.rlike(rf"^{WS}*\z").alias("blank"))),
         lambda x: ~x["blank"],
     )
-    lines = docs.where("text is not null").select("_k", F.posexplode(rows).alias("s", "x")).select("_k", "s", "x.line", "x.h1", "x.h2")
+    lines = docs.where("text is not null").select("_k", F.posexplode(rows).alias("s", "x")).select("_k", "s", "x.line", "x.h1", "x.h2", *([] if min_words is None else ["x.w"]))
     lines = scratch.save(lines, "lines")
     again = lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    at = lines.join(_ranks(again, ["h1", "h2"], scratch, "rank_1"), ["h1", "h2"]).select("_k", "s", F.col("rank").alias("r"))
+    at = lines.join(_ranks(again, ["h1", "h2"], scratch, "rank_1"), ["h1", "h2"]).select("_k", "s", F.col("rank").alias("r"), *([] if min_words is None else ["w", F.col("w").alias("last")]))
     at = scratch.save(at, "at_1")
-    h = 1
+    h, found = 1, []
     while h < min_lines:
-        step = min(h, min_lines - h)
-        pairs = at.join(at.select("_k", (F.col("s") - step).alias("s"), F.col("r").alias("r2")), ["_k", "s"])
+        if min_words is not None:
+            found.append(_later(at.where(F.col("w") >= min_words), h))
+        step = 1 if min_words is not None else min(h, min_lines - h)
+        # Words of the run and of its last line go along where they count.
+        words, sums = ([], []) if min_words is None else ([F.col("last").alias("last2")], [(F.col("w") + F.col("last2")).alias("w"), F.col("last2").alias("last")])
+        pairs = at.join(at.select("_k", (F.col("s") - step).alias("s"), F.col("r").alias("r2"), *words), ["_k", "s"])
         pairs = scratch.save(pairs, f"pairs_{h}")
         again = pairs.groupBy("r", "r2").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         h += step
         ranks = _ranks(again, ["r", "r2"], scratch, f"rank_{h}")
-        at = scratch.save(pairs.join(ranks, ["r", "r2"]).select("_k", "s", F.col("rank").alias("r")), f"at_{h}")
-    first = at.groupBy("r").agg(F.min(F.struct("_k", "s")).alias("first"))
-    later = at.join(first, "r").where("first._k <> _k or first.s <> s")
-    gone = later.select("_k", F.explode(F.sequence("s", F.col("s") + F.lit(min_lines - 1))).alias("s")).distinct()
+        at = scratch.save(pairs.join(ranks, ["r", "r2"]).select("_k", "s", F.col("rank").alias("r"), *sums), f"at_{h}")
+    gone = _later(at, min_lines)
+    for more in found:
+        gone = gone.union(more)
+    gone = gone.distinct()
     return lines.join(gone, ["_k", "s"], "left_semi").select("_k", "line")
 
 
-def dedup(docs: DataFrame, min_lines: int = MIN_LINES, scratch: Scratch | None = None) -> DataFrame:
+def dedup(docs: DataFrame, min_lines: int = MIN_LINES, scratch: Scratch | None = None, min_words: int | None = None) -> DataFrame:
     """Every row with its columns, ``_k``, ``_kept`` (the text without later copies), ``_lines`` and ``_removed`` (counts of lines)."""
     scratch = scratch or Scratch(docs.sparkSession)
     base = keyed(docs, scratch)
-    gone = repeated_lines(base.select("_k", "text"), min_lines, scratch).groupBy("_k").agg(F.collect_set("line").alias("_gone"))
+    gone = repeated_lines(base.select("_k", "text"), min_lines, scratch, min_words).groupBy("_k").agg(F.collect_set("line").alias("_gone"))
     gone = scratch.save(gone, "gone")
     scratch.drop("lines", "at_1", *(f"pairs_{i}" for i in range(1, min_lines)))
     # Texts are dealt out by key at any size: no switch to a broadcast where few documents lose lines.
@@ -72,9 +90,9 @@ def dedup(docs: DataFrame, min_lines: int = MIN_LINES, scratch: Scratch | None =
     )
 
 
-def dedup_stage(docs: DataFrame, min_lines: int = MIN_LINES, scratch: Scratch | None = None) -> DataFrame:
+def dedup_stage(docs: DataFrame, min_lines: int = MIN_LINES, scratch: Scratch | None = None, min_words: int | None = MIN_WORDS) -> DataFrame:
     """The documents with later copies of runs deleted; those of which nothing but blank lines is left go."""
-    out = dedup(docs, min_lines, scratch)
+    out = dedup(docs, min_lines, scratch, min_words)
     keep = (F.col("_removed") == 0) | ~F.col("_kept").rlike(rf"^{WS}*\z")
     cols = [F.col("_kept").alias(c) if c == "text" else F.when(F.col("_removed") == 0, F.col(c)).otherwise(F.length("_kept").cast("long")).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     return out.where(keep).select(*cols)

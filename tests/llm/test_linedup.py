@@ -39,3 +39,33 @@ def test_odd_rows(spark, docs, odd_rows):
 
 def test_empty_table(spark, docs):
     assert linedup.dedup(docs([])).collect() == []
+
+
+def test_short_runs_of_many_words(spark, docs, rng):
+    pool = [f"line {i} " + "w " * (12 * i) for i in range(7)] + ["", " "]
+    rows = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randint(0, 8))), "s") for i in range(60)] + [(100, pool[6], "s"), (101, "line 0 ", "s"), (102, None, "s")]
+    got = {r["doc_id"]: (r["_kept"], r["_removed"]) for r in linedup.dedup(docs(rows).drop("_k"), min_lines=4, min_words=50).collect()}
+    assert got == {i: (t, n) for i, t, n in brute_by_words(rows, 4, 50)}
+
+
+def brute_by_words(rows, least, words):
+    seen, out = set(), []
+    for i, t, *_ in rows:
+        lines = [] if t is None else t.split("\n")
+        full = [n for n, x in enumerate(lines) if x.strip()]
+        gone = set()
+        for s in range(len(full)):
+            for k in range(1, least + 1):
+                run = tuple(lines[n] for n in full[s : s + k])
+                if len(run) == k and (k == least or len(" ".join(run).split()) >= words):
+                    if run in seen:
+                        gone.update(full[s : s + k])
+                    seen.add(run)
+        out.append((i, None if t is None else "\n".join(x for n, x in enumerate(lines) if n not in gone), len(gone)))
+    return out
+
+
+def test_stage_drops_a_long_line_said_before(spark, docs, rng):
+    line = " ".join(f"w{i}" for i in range(60))
+    kept = linedup.dedup_stage(docs([(1, "one\n" + line, "s"), (2, "two\n" + line, "s"), (3, line, "s"), (4, "one", "s")])).collect()
+    assert {r["doc_id"]: r["text"] for r in kept} == {1: "one\n" + line, 2: "two", 4: "one"}
