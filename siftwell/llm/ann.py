@@ -5,9 +5,10 @@ product of int8 codes gives approximate cosines with a quantisation error bound;
 the bound can't exclude are computed in double precision and kept in a heap per query. The
 tiles' short lists are merged by heaps per query block.
 
-Defined cases: vectors that are null, zero or hold null or non-finite components, null ids and
-vectors of another length than the most common one take no part; with fewer candidates than
-asked all are returned; ties go to the smaller id; copies of a vector all count.
+Defined cases: vectors that are null, zero, empty or hold null or non-finite components, and null ids take no part;
+vectors are near only to those of their own length; with fewer candidates than
+asked all are returned; ties go to the smaller id; copies of a vector all count, rows that repeat an id too; very long
+vectors are compared whole; an empty table gives none. Only ``vec_id`` and ``embedding`` are read, whatever other columns are called.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from siftwell.llm.common import Scratch
 
 #: Rows of a tile's sides at most, about: bounds a task's memory.
 QUERY_BLOCK, CANDIDATE_BLOCK, STEP = 2048, 16384, 2048
+#: Up to so many components a product of codes, at most 127 * 127 each, is exact in float32.
+FLOAT32_EXACT = (1 << 24) // (127 * 127)
 
 
 def _dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -35,11 +38,11 @@ def _dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def quantise(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """int8 codes (as float32, in which tile products are exact), scales and norms of the error."""
+    """int8 codes (as floats in which tile products are exact), scales and norms of the error."""
     scale = np.abs(unit).max(axis=1) / 127
     codes = np.rint(unit / scale[:, None])
     err = np.sqrt(((unit - codes * scale[:, None]) ** 2).sum(axis=1))
-    return codes.astype(np.float32), scale, err
+    return codes.astype(np.float32 if unit.shape[1] <= FLOAT32_EXACT else np.float64), scale, err
 
 
 def tile_top(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int) -> list[list[tuple[float, int]]]:
@@ -77,9 +80,9 @@ def _tile(k: int):
         if len(left) and len(right):
             qid, cid = left["vec_id"].to_numpy(np.int64), right["cand_id"].to_numpy(np.int64)
             heaps = tile_top(qid, np.stack(left["v"]).astype(float), cid, np.stack(right["cand_v"]).astype(float), k)
-            qb = int(left["qb"].iloc[0])
-            rows = [(qb, int(n), [-j for _, j in h], [s for s, _ in h]) for n, h in zip(qid, heaps, strict=True)]
-        return pd.DataFrame(rows, columns=["qb", "query_id", "ids", "scores"])
+            dim, parts = int(left["dim"].iloc[0]), int(left["parts"].iloc[0])
+            rows = [(dim, parts, int(n), [-j for _, j in h], [s for s, _ in h]) for n, h in zip(qid, heaps, strict=True)]
+        return pd.DataFrame(rows, columns=["dim", "parts", "query_id", "ids", "scores"])
 
     return run
 
@@ -101,24 +104,26 @@ def _merge(k: int):
 
 
 def search(vectors: DataFrame, is_query, k: int = 5, scratch: Scratch | None = None, query_block: int = QUERY_BLOCK, candidate_block: int = CANDIDATE_BLOCK) -> DataFrame:
-    """``query_id, rank, vec_id, score``: the ``k`` nearest by cosine of every row of ``vectors(vec_id, embedding)`` for which ``is_query`` holds."""
+    """``query_id, rank, vec_id, score``: the ``k`` nearest by cosine of every row of ``vectors(vec_id, embedding)`` for which ``is_query`` holds.
+
+    Tiles are pairs of blocks of one vector length; their number is the product of both sides' blocks, each of bounded size.
+    """
     scratch = scratch or Scratch(vectors.sparkSession)
-    e = F.col("embedding")
-    good = vectors.select("vec_id", e.cast("array<double>").alias("v")).where(
+    # Components keep their type until a tile computes: float vectors travel as floats.
+    good = vectors.select("vec_id", F.col("embedding").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asked")).where(
         F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)
         & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     )
-    good = scratch.save(good, "vectors")
-    sizes = good.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n"), F.count_if(is_query).alias("q")).orderBy(F.desc("n"), "dim").first()
-    if sizes is None or sizes["q"] == 0:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    good = good.where(F.size("v") == sizes["dim"])
-    nq, nc = max(1, -(-sizes["q"] // query_block)), max(1, -(-sizes["n"] // candidate_block))
-    cut = lambda n, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(n)).cast("int")
-    queries = good.where(is_query).withColumn("qb", cut(nq, 1)).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(nc - 1))))
-    candidates = good.withColumn("cb", cut(nc, 2)).withColumnsRenamed({"vec_id": "cand_id", "v": "cand_v"}).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
-    tiles = queries.groupBy("qb", "cb").cogroup(candidates.groupBy("qb", "cb")).applyInPandas(
-        _tile(k), "qb int, query_id long, ids array<long>, scores array<double>"
+    good = scratch.save(good, "vectors").withColumn("dim", F.size("v"))
+    blocks = lambda n, size: F.greatest(F.lit(1), F.ceil(n / F.lit(size))).cast("int")
+    sizes = good.groupBy("dim").agg(blocks(F.count_if("asked"), query_block).alias("nq"), blocks(F.count(F.lit(1)), candidate_block).alias("nc"), F.count_if("asked").alias("q")).where("q > 0")
+    good = good.join(scratch.save(sizes, "sizes"), "dim")
+    cut = lambda n, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.col(n)).cast("int")
+    parts = F.ceil(F.col("q") / F.lit(256)).cast("int").alias("parts")
+    queries = good.where("asked").select("dim", cut("nq", 1).alias("qb"), F.explode(F.sequence(F.lit(0), F.col("nc") - 1)).alias("cb"), "vec_id", "v", parts)
+    candidates = good.select(F.col("dim").alias("cand_dim"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("cand_qb"), cut("nc", 2).alias("cand_cb"), F.col("vec_id").alias("cand_id"), F.col("v").alias("cand_v"))
+    tiles = queries.groupBy("dim", "qb", "cb").cogroup(candidates.groupBy("cand_dim", "cand_qb", "cand_cb")).applyInPandas(
+        _tile(k), "dim int, parts int, query_id long, ids array<long>, scores array<double>"
     )
-    merged = tiles.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-sizes["q"] // 256)))))
-    return merged.groupBy("part").applyInPandas(_merge(k), "query_id long, rank int, vec_id long, score double")
+    merged = tiles.withColumn("part", F.pmod(F.xxhash64("query_id"), F.col("parts")))
+    return merged.groupBy("dim", "part").applyInPandas(_merge(k), "query_id long, rank int, vec_id long, score double")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, IntegralType, MapType, StructType, VariantType
 
-#: Used only where the session names no ``spark.checkpoint.dir`` (tests on one machine).
+#: Used only in local mode and where the session names no ``spark.checkpoint.dir``, as in tests on one machine.
 FALLBACK_DIR = "/tmp/checkpoints/siftwell"
 
 #: ASCII white space: space and U+0009 to U+000D.
@@ -27,7 +29,11 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        base = spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_DIR
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            base = FALLBACK_DIR
         self.root = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
@@ -54,17 +60,40 @@ def n_words(text: Column) -> Column:
     ).cast("long")
 
 
-def keyed(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", key: str = "_k", order: tuple[str, ...] = ("text",)) -> DataFrame:
+def _orderable(kind: DataType) -> bool:
+    if isinstance(kind, StructType):
+        return all(_orderable(f.dataType) for f in kind.fields)
+    return _orderable(kind.elementType) if isinstance(kind, ArrayType) else not isinstance(kind, (MapType, VariantType))
+
+
+def keyed(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", key: str = "_k") -> DataFrame:
     """Add a unique, non-null long ``key`` that sorts as ``id_col`` does (nulls last).
 
-    Where ids are unique and not null the key is the id itself. Otherwise rows get
-    consecutive-order keys by (id, ``order``) from a range-partitioned sort, written to
-    scratch so that they stay the same when tasks are retried.
+    Where ids are integers, unique and not null the key is the id itself. Otherwise it is the row's
+    rank by (id, text, all other columns), so that it depends on the rows alone, however they are
+    partitioned; rows that tie are equal in all columns. ``key`` must not be a column of ``df``:
+    callers pass columns of their own choice, or whole rows as by ``boxed``.
     """
+    if key in df.columns:
+        raise ValueError(f"column {key} is in use")
     s = df.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.col(id_col)).alias("d")).first()
-    if s["n"] == s["d"]:
+    if s["n"] == s["d"] and isinstance(df.schema[id_col].dataType, IntegralType):
         return df.withColumn(key, F.col(id_col).cast("long"))
-    by = [F.col(id_col).asc_nulls_last(), *(F.col(c).asc_nulls_first() for c in order)]
+    rest = [f.name for f in df.schema.fields if f.name not in (id_col, "text") and _orderable(f.dataType)]
+    by = [F.col(id_col).asc_nulls_last(), *(F.col(f"`{c}`").asc_nulls_first() for c in (["text"] if "text" in df.columns else []) + rest)]
     parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ranked = df.repartitionByRange(parts, *by).sortWithinPartitions(*by)
-    return scratch.save(ranked.withColumn(key, F.monotonically_increasing_id()), f"keyed_{uuid.uuid4().hex[:6]}")
+    ranked = scratch.save(ranked.withColumn(key, F.monotonically_increasing_id()), f"keyed_{uuid.uuid4().hex[:6]}")
+    # The generated id holds the partition above 33 bits: one count per partition turns it into a rank.
+    sizes = {r["p"]: r["n"] for r in ranked.groupBy(F.shiftright(key, 33).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    before, rows = 0, []
+    for p in sorted(sizes):
+        rows.append((p, before - (p << 33)))
+        before += sizes[p]
+    shift = F.broadcast(df.sparkSession.createDataFrame(rows, "_part long, _shift long"))  # one row per partition
+    return ranked.join(shift, F.shiftright(key, 33) == F.col("_part")).withColumn(key, F.col(key) + F.col("_shift")).select(*(F.col(f"`{c}`") for c in df.columns), key)
+
+
+def boxed(df: DataFrame, *names: str) -> DataFrame:
+    """All columns as one struct ``_row`` beside copies of ``names``, so that columns of any name pass through an operator unchanged."""
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row"), *names)

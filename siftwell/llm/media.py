@@ -2,10 +2,14 @@
 
 Reads both byte orders, strips and tiles, 8-bit grey or multi-sample chunky pages without
 compression or with PackBits, LZW or deflate, and undoes horizontal differencing. The
-writer makes small grey pages for round trips.
-
-Defined cases: a null or malformed file gives no page; an empty payload is stored as one
-padding unit; equal payloads give equal files.
+writer makes grey pages for round trips; a payload's pages take all codecs, layouts and
+predictors in turn, whatever its length.
+
+Defined cases: a null or malformed file gives no page, nor does one with a page that the reader refuses (samples
+other than 8 bits, separate planes, reversed bits, unknown compression or predictor, missing or short strips and tiles, sizes
+beyond what the stored bytes can expand to); an empty payload is stored as one padding unit; equal payloads
+give equal files, repeated rows equal rows; a very long payload is many pages of bounded size; an empty table gives no
+rows. Only the named columns are read, whatever other columns are called.
 """
 
 from __future__ import annotations
@@ -21,17 +25,20 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 # TIFF tags, field types by size, and compression codes.
-WIDTH, LENGTH, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS = 256, 257, 258, 259, 262, 273, 277, 278, 279
+WIDTH, LENGTH, BITS, COMPRESSION, PHOTOMETRIC, FILL_ORDER, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS, PLANES = 256, 257, 258, 259, 262, 266, 273, 277, 278, 279, 284
 PREDICTOR, TILE_WIDTH, TILE_LENGTH, TILE_OFFSETS, TILE_COUNTS = 317, 322, 323, 324, 325
 TYPES = {1: "B", 2: "B", 3: "H", 4: "I", 16: "Q"}
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 
 #: A payload is whole units of 576 bytes: one row, or one tile of 24 by 24 samples.
 UNIT, TILE = 576, 24
-#: Rows of one page at most; so a page is a bounded piece of a long payload.
-PAGE_ROWS = 455
-#: Sizes of the decoder's table at which codes get wider.
-WIDEN = {511: 10, 1023: 11, 2047: 12}
+#: Rows of one page and of one strip at most; so a page is a bounded piece of a long payload.
+PAGE_ROWS, STRIP_ROWS = 72, 24
+#: What a page can be: compression, predictor, tiled. Differences gain nothing under PackBits, which no reader expects there.
+MODES = (*((PACKBITS, 1, t) for t in (False, True)), *((how, p, t) for how in (LZW, DEFLATE) for p in (1, 2) for t in (False, True)))
+#: Bytes that one stored byte can become at most: 2730 by LZW (a code of 12 bits for 4095 bytes), 1032 by deflate.
+EXPANDS = 4096
+CLEAR, END = 256, 257
 _RUN = re.compile(rb"(.)\1{2,127}", re.DOTALL)
 
 
@@ -52,9 +59,9 @@ def packbits(raw: bytes) -> bytes:
     return bytes(out)
 
 
-def unpackbits(data: bytes) -> bytes:
+def unpackbits(data: bytes, most: int) -> bytes:
     out, i = bytearray(), 0
-    while i < len(data):
+    while i < len(data) and len(out) < most:
         n = data[i]
         if n < 128:
             out += data[i + 1 : i + 2 + n]
@@ -67,86 +74,93 @@ def unpackbits(data: bytes) -> bytes:
     return bytes(out)
 
 
+#: Bits of codes that are put together or taken apart at once.
+AT_ONCE = 512
+
+
 def lzw(raw: bytes) -> bytes:
     """Variable codes of 9 to 12 bits, most significant bit first, widening one code early."""
-    acc, bits, width = 256, 9, 9
-    codes, w = {}, b""
-    out, new = bytearray(), 258
-
-    def flush(force: bool = False) -> None:
-        nonlocal acc, bits
-        while bits >= 8 or (force and bits):
-            if bits < 8:
-                acc, bits = acc << (8 - bits), 8
-            out.append(acc >> (bits - 8) & 255)
-            bits -= 8
-            acc &= (1 << bits) - 1
-
-    def put(code: int) -> None:
-        nonlocal acc, bits
-        acc, bits = acc << width | code, bits + width
-        flush()
-
-    for k in range(len(raw)):
-        c = raw[k : k + 1]
-        wc = w + c
-        if len(wc) == 1 or wc in codes:
-            w = wc
+    out, acc, bits, width = bytearray(), CLEAR, 9, 9
+    codes, new, widen, w = {}, 258, 512, -1
+
+    def whole(acc: int, bits: int) -> int:
+        out.extend((acc >> (bits & 7)).to_bytes(bits >> 3, "big"))
+        return acc & ((1 << (bits & 7)) - 1)
+
+    for c in raw:
+        if w < 0:
+            w = c
+            continue
+        # A known string is (code of all but its last byte, last byte).
+        key = w << 8 | c
+        if (n := codes.get(key)) is not None:
+            w = n
             continue
-        put(codes[w] if len(w) > 1 else w[0])
-        codes[wc] = new
+        acc, bits = acc << width | w, bits + width
+        codes[key] = new
         new += 1
-        if new == 4094:
-            put(256)
-            codes, new, width = {}, 258, 9
-        elif new in (512, 1024, 2048):
-            width += 1
+        if new == widen:
+            width, widen = width + 1, widen * 2
+        elif new == 4094:
+            acc, bits = acc << width | CLEAR, bits + width
+            codes, new, widen, width = {}, 258, 512, 9
+        if bits >= AT_ONCE:
+            acc, bits = whole(acc, bits), bits & 7
         w = c
-    if w:
-        put(codes[w] if len(w) > 1 else w[0])
-        new += 1
-        if new in (512, 1024, 2048):
-            width += 1
-    put(257)
-    flush(True)
+    if w >= 0:
+        acc, bits = acc << width | w, bits + width
+        width += new + 1 == widen
+    acc, bits = acc << width | END, bits + width
+    whole(acc << (-bits & 7), bits + (-bits & 7))
     return bytes(out)
 
 
-def unlzw(data: bytes) -> bytes:
-    out, table, width, prev = [], [], 9, None
+_BYTES = [bytes([i]) for i in range(256)] + [b"", b""]
+
+
+def unlzw(data: bytes, most: int) -> bytes:
+    """The first ``most`` bytes at least, or all. A code that is not yet known is an error."""
+    out, have, table, size, width, widen, prev = [], 0, _BYTES[:], 258, 9, 511, None
     acc = bits = at = 0
-    while True:
-        while bits < width:
-            if at >= len(data):
-                return b"".join(out)
-            acc, bits, at = (acc << 8 | data[at]) & 0xFFFFFFFF, bits + 8, at + 1
-        code = acc >> (bits - width) & ((1 << width) - 1)
+    while have < most:
+        if bits < width:
+            piece = data[at : at + AT_ONCE // 8]
+            acc = (acc & ((1 << bits) - 1)) << 8 * len(piece) | int.from_bytes(piece, "big")
+            bits, at = bits + 8 * len(piece), at + len(piece)
+            if bits < width:
+                break
         bits -= width
-        if code == 257:
-            return b"".join(out)
-        if code == 256:
-            table, width, prev = [bytes([i]) for i in range(256)] + [b"", b""], 9, None
-            continue
-        if prev is None:
-            if not table:
-                table = [bytes([i]) for i in range(256)] + [b"", b""]
+        code = acc >> bits & ((1 << width) - 1)
+        if code < size and code not in (CLEAR, END):
             entry = table[code]
+        elif code == CLEAR:
+            table, size, width, widen, prev = _BYTES[:], 258, 9, 511, None
+            continue
+        elif code == END:
+            break
+        elif code == size and prev is not None:
+            entry = prev + prev[:1]
         else:
-            entry = table[code] if code < len(table) else prev + prev[:1]
+            raise ValueError("unknown code")
+        if prev is not None and size < 4096:
             table.append(prev + entry[:1])
+            size += 1
+            if size == widen and width < 12:
+                width, widen = width + 1, widen * 2 + 1
         out.append(entry)
+        have += len(entry)
         prev = entry
-        width = WIDEN.get(len(table), width)
+    return b"".join(out)
 
 
 def _encode(raw: bytes, how: int) -> bytes:
     return {NONE: bytes, PACKBITS: packbits, LZW: lzw, DEFLATE: lambda x: zlib.compress(x, 1)}[how](raw)
 
 
-def _decode(data: bytes, how: int) -> bytes:
+def _decode(data: bytes, how: int, most: int) -> bytes:
     if how in (DEFLATE, OLD_DEFLATE):
-        return zlib.decompress(data)
-    return {NONE: bytes, PACKBITS: unpackbits, LZW: unlzw}[how](data)
+        return zlib.decompressobj().decompress(data, max(1, most))
+    return {NONE: lambda d, n: d, PACKBITS: unpackbits, LZW: unlzw}[how](data, most)
 
 
 def write_tiff(pages: list[dict]) -> bytes:
@@ -162,7 +176,7 @@ def write_tiff(pages: list[dict]) -> bytes:
             full[:rows, :cols] = a
             blocks = [b for r in full.reshape(down, TILE, across, TILE).transpose(0, 2, 1, 3) for b in r]
         else:
-            step = max(1, 65536 // max(1, cols))
+            step = STRIP_ROWS
             blocks = [a[i : i + step] for i in range(0, rows, step)]
         offsets, counts = [], []
         for b in blocks:
@@ -207,36 +221,43 @@ def read_pages(data: bytes) -> Iterator[np.ndarray]:
                     (place,) = struct.unpack_from(e + "I", data, place)
                 tags[tag] = struct.unpack_from(fmt, data, place)
         (at,) = struct.unpack_from(e + "I", data, at + 2 + 12 * n)
-        one = lambda t, d=None, tags=tags: tags.get(t, (d,))[0]
-        rows, cols, per = one(LENGTH), one(WIDTH), one(SAMPLES, 1)
-        how, predictor = one(COMPRESSION, NONE), one(PREDICTOR, 1)
-        page = np.zeros((rows, cols * per), np.uint8)
-        if TILE_OFFSETS in tags:
-            th, tw = one(TILE_LENGTH), one(TILE_WIDTH)
-            places = [(r, c, th, tw) for r in range(0, rows, th) for c in range(0, cols, tw)]
-            pieces = zip(tags[TILE_OFFSETS], tags[TILE_COUNTS], places, strict=False)
-        else:
-            step = min(rows, one(ROWS_PER_STRIP, rows)) or 1
-            places = [(r, 0, min(step, rows - r), cols) for r in range(0, rows, step)]
-            pieces = zip(tags[STRIP_OFFSETS], tags[STRIP_COUNTS], places, strict=False)
-        for offset, count, (r, c, h, w) in pieces:
-            block = np.frombuffer(_decode(data[offset : offset + count], how), np.uint8)[: h * w * per].reshape(h, w, per)
-            if predictor == 2:
-                block = np.cumsum(block, axis=1, dtype=np.uint8)
-            part = block[: rows - r, : cols - c].reshape(min(h, rows - r), -1)
-            page[r : r + len(part), c * per : c * per + part.shape[1]] = part
-        yield page
+        yield _page(data, tags)
+
+
+def _page(data: bytes, tags: dict[int, tuple[int, ...]]) -> np.ndarray:
+    one = lambda t, d=None: tags.get(t, (d,))[0]
+    rows, cols, per = one(LENGTH), one(WIDTH), one(SAMPLES, 1)
+    how, predictor = one(COMPRESSION, NONE), one(PREDICTOR, 1)
+    if set(tags.get(BITS, (1,))) != {8} or one(PLANES, 1) != 1 or one(FILL_ORDER, 1) != 1 or predictor not in (1, 2):
+        raise ValueError("a kind of page that is not read")
+    if TILE_OFFSETS in tags:
+        th, tw = one(TILE_LENGTH), one(TILE_WIDTH)
+        offsets, counts = tags[TILE_OFFSETS], tags[TILE_COUNTS]
+        n, places = -(-rows // th) * -(-cols // tw), ((r, c, th, tw) for r in range(0, rows, th) for c in range(0, cols, tw))
+    else:
+        step = min(rows, one(ROWS_PER_STRIP, rows)) or 1
+        offsets, counts = tags[STRIP_OFFSETS], tags[STRIP_COUNTS]
+        n, places = -(-rows // step), ((r, 0, min(step, rows - r), cols) for r in range(0, rows, step))
+    if len(offsets) != n or len(counts) != n or rows * cols * per > EXPANDS * sum(counts) or sum(counts) > len(data) * n:
+        raise ValueError("more samples than the file holds")
+    page = np.zeros((rows, cols * per), np.uint8)
+    for offset, count, (r, c, h, w) in zip(offsets, counts, places, strict=True):
+        if h * w * per > EXPANDS * count:
+            raise ValueError("more samples than the block holds")
+        block = np.frombuffer(_decode(data[offset : offset + count], how, h * w * per), np.uint8)[: h * w * per].reshape(h, w, per)
+        if predictor == 2:
+            block = np.cumsum(block, axis=1, dtype=np.uint8)
+        part = block[: rows - r, : cols - c].reshape(min(h, rows - r), -1)
+        page[r : r + len(part), c * per : c * per + part.shape[1]] = part
+    return page
 
 
 def store(payload: bytes) -> bytes:
-    """A payload of whole units as a file: one unit as an LZW tile, few as PackBits strips, more as pages of deflated strips or tiles."""
+    """A payload of whole units as a file of pages. Each page takes the mode after the last one's; the first one's is given by the payload's checksum."""
     a = np.frombuffer(payload, np.uint8).reshape(-1, UNIT)
-    if len(a) == 1:
-        return write_tiff([{"samples": a.reshape(TILE, TILE), "compression": LZW, "predictor": 1, "tiled": True}])
-    if len(a) <= 3:
-        return write_tiff([{"samples": a, "compression": PACKBITS, "predictor": 1, "tiled": False}])
-    pages = [a[i : i + PAGE_ROWS] for i in range(0, len(a), PAGE_ROWS)]
-    return write_tiff([{"samples": p, "compression": DEFLATE, "predictor": 1 + k % 2, "tiled": False} for k, p in enumerate(pages)])
+    start = zlib.crc32(payload)
+    modes = (MODES[(start + k) % len(MODES)] for k in range(0, len(a)))
+    return write_tiff([{"samples": a[i : i + PAGE_ROWS], "compression": how, "predictor": p, "tiled": t} for i, (how, p, t) in zip(range(0, len(a), PAGE_ROWS), modes, strict=False)])
 
 
 def payload_of(text: bytes) -> bytes:
@@ -273,7 +294,7 @@ def _pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for key, data in zip(pdf["key"], pdf["media"], strict=True):
             try:
                 found = list(read_pages(bytes(data))) if data is not None else []
-            except (struct.error, zlib.error, KeyError, IndexError, ValueError, TypeError):
+            except (struct.error, zlib.error, KeyError, IndexError, ValueError, TypeError, ZeroDivisionError, OverflowError, MemoryError):
                 found = []
             rows += [(key, i, p.shape[0], p.shape[1], p.tobytes()) for i, p in enumerate(found)]
         yield pd.DataFrame(rows, columns=["key", "page", "height", "width", "samples"]).astype({"key": "Int64"})

@@ -6,7 +6,9 @@ and a bounded-knapsack dynamic programme for the remaining budget. Documents are
 selected by seeded order within each length.
 
 Defined cases: null text has size 0 and takes 0; a null source is a source of its own, last
-in order; an empty table gives an empty result; repeated rows count as rows of their own.
+in order; an empty table gives an empty result; repeated rows count as rows of their own; of documents of equal length
+a seeded hash of their keys chooses, which depend on (id, text, source) alone, so reruns agree however rows are partitioned;
+a very long text is taken if its source's target has room for it. Columns of any name pass through unchanged.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from siftwell.llm.common import Scratch, keyed, n_words
+from siftwell.llm.common import Scratch, boxed, keyed, n_words
 
 #: Words of each source's target that the dynamic programme fits exactly.
 DP_WORDS = 4096
@@ -25,26 +27,27 @@ DP_WORDS = 4096
 ORDERED_AT_ONCE = 256
 
 
-def water_fill(sizes: dict[str | None, int], weights: tuple[float, ...] = (1, 2, 3), share: float = 1.0, most: float = 3.0) -> dict[str | None, float]:
-    """Target words by source: shares by weight, none above ``most`` times its size.
+def targets(totals: DataFrame, weights: tuple[float, ...], share: float, most: float, scratch: Scratch) -> DataFrame:
+    """``s, source_size, target`` of ``totals(s, source_size)``: shares by weight, none above ``most`` times its size.
 
-    Sources in code point order, null last, weigh ``weights`` in turn. What a capped
-    source can't take is shared anew by weight among the others.
+    Sources in the order of ``s`` weigh ``weights`` in turn. What capped sources can't take is shared anew by
+    weight among the others, until no other reaches its cap. Each turn is one aggregate of sums over all sources.
     """
-    order = sorted((s for s in sizes if s is not None)) + [s for s in sizes if s is None]
-    w = {s: float(weights[i % len(weights)]) for i, s in enumerate(order)}
-    left, free, out = share * float(sum(sizes.values())), list(order), dict.fromkeys(order, 0.0)
-    while free:
-        total = sum(w[s] for s in free)
-        over = [s for s in free if left * w[s] / total > most * sizes[s]]
-        if not over:
-            out.update({s: left * w[s] / total for s in free})
+    order = keyed(totals, scratch, "s", "n_th")
+    w = F.element_at(F.array(*(F.lit(float(x)) for x in weights)), (F.col("n_th") % len(weights) + 1).cast("int"))
+    all_ = scratch.save(order.select("s", "source_size", w.alias("w")), "mix_sources")
+    cap = F.lit(float(most)) * F.col("source_size")
+    whole = share * float(all_.agg(F.sum("source_size")).first()[0] or 0)
+    fair, capped, last = F.lit(0.0), F.lit(False), -1
+    while True:
+        s = all_.agg(F.sum(F.when(capped, F.col("source_size"))).alias("size"), F.sum(F.when(~capped, F.col("w"))).alias("w"), F.count_if(capped).alias("n")).first()
+        if s["n"] == last or not s["w"]:
             break
-        for s in over:
-            out[s] = most * sizes[s]
-        left -= sum(out[s] for s in over)
-        free = [s for s in free if s not in set(over)]
-    return out
+        last = s["n"]
+        left = whole - most * float(s["size"] or 0)
+        fair = F.lit(left) * F.col("w") / F.lit(s["w"])
+        capped = fair > cap
+    return all_.select("s", "source_size", F.when(capped, cap).otherwise(fair).alias("target"))
 
 
 def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int, dp_words: int = DP_WORDS) -> np.ndarray:
@@ -93,31 +96,24 @@ def _plan(pdf: pd.DataFrame) -> pd.DataFrame:
     total, want = int((lengths * counts).sum()), int(round(target))
     passes = min(most, want // total) if total else 0
     rest = want - passes * total if passes < most else 0
-    return pdf[["s", "size", "n"]].assign(passes=passes, x=fit_counts(lengths, counts, rest))
+    return pdf[["s", "size", "n", "source_size", "target"]].assign(passes=passes, x=fit_counts(lengths, counts, rest))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), share: float = 1.0, most: int = 3, seed: int = 42, scratch: Scratch | None = None) -> DataFrame:
     """All rows with ``size``, ``source_size``, ``target`` and ``taken`` words.
 
-    One row per document and source total reach a task that plans: a source is planned
-    from its length counts (as many rows as it has distinct lengths); source totals, one
-    row per source of the catalogue, are shared out on the driver.
+    A source is planned in one task from its length counts: as many rows as it has distinct lengths.
     """
-    spark = docs.sparkSession
-    scratch = scratch or Scratch(spark)
+    scratch = scratch or Scratch(docs.sparkSession)
     base = keyed(docs.select("doc_id", "text", "source"), scratch).select(
         "_k", "doc_id", "source", n_words(F.col("text")).alias("size"),
-        F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("s"),
+        F.coalesce(F.concat(F.lit("s"), "source"), F.lit("t")).alias("s"),  # a null source sorts last
     )
     base = scratch.save(base, "mix_base")
-    hist = base.groupBy("s", "size").agg(F.count(F.lit(1)).alias("n"))
-    totals = {r["s"]: int(r["t"] or 0) for r in hist.groupBy("s").agg(F.sum(F.col("size") * F.col("n")).alias("t")).collect()}
-    filled = water_fill({s[1:] if s[0] == "s" else None: t for s, t in totals.items()}, weights, share, most)
-    rows = [("n" if s is None else "s" + s, totals["n" if s is None else "s" + s], float(t)) for s, t in filled.items()]
-    targets = spark.createDataFrame(rows, "s string, source_size long, target double")
-    plan = (
-        hist.join(targets, "s").withColumn("most", F.lit(most))
-        .groupBy("s").applyInPandas(_plan, "s string, size long, n long, passes long, x long")
+    hist = scratch.save(base.groupBy("s", "size").agg(F.count(F.lit(1)).alias("n")), "mix_lengths")
+    goals = targets(hist.groupBy("s").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, share, most, scratch)
+    plan = hist.join(goals, "s").withColumn("most", F.lit(most)).groupBy("s").applyInPandas(
+        _plan, "s string, size long, n long, source_size long, target double, passes long, x long"
     )
     plan = scratch.save(plan, "mix_plan")
     # Seeded order within a length, in buckets so that a length that very many documents share is split.
@@ -130,11 +126,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), share: float =
         "rn", F.col("before") + F.row_number().over(Window.partitionBy("s", "size", "b").orderBy("h", "_k"))
     ).withColumn("extra", (F.col("rn") <= F.col("x")).cast("long"))
     whole = d.where("not (x > 0 and x < n)").withColumn("extra", (F.col("x") > 0).cast("long"))
-    cols = ["_k", "doc_id", "source", "s", "size", "passes", "extra"]
-    out = part.select(*cols).union(whole.select(*cols))
-    return out.join(F.broadcast(targets) if len(rows) <= 10_000 else targets, "s").select(
-        "_k", "doc_id", "source", "size", "source_size", "target", ((F.col("passes") + F.col("extra")) * F.col("size")).alias("taken")
-    )
+    taken = ((F.col("passes") + F.col("extra")) * F.col("size")).alias("taken")
+    cols = ["_k", "doc_id", "source", "size", "source_size", "target", taken]
+    return part.select(*cols).union(whole.select(*cols))
 
 
 def mixed_rows(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), share: float = 1.0, most: int = 3, seed: int = 42, scratch: Scratch | None = None) -> DataFrame:
@@ -143,9 +137,10 @@ def mixed_rows(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), share: f
     Rows of size 0 have no words to take or leave: they stay once.
     """
     scratch = scratch or Scratch(docs.sparkSession)
-    base = keyed(docs, scratch)
-    taken = mix(base.select(F.col("_k").alias("doc_id"), "text", "source"), weights, share, most, seed, scratch)
+    base = keyed(boxed(docs, "doc_id"), scratch)
+    taken = mix(base.select(F.col("_k").alias("doc_id"), F.col("_row.text").alias("text"), F.col("_row.source").alias("source")), weights, share, most, seed, scratch)
     times = F.when(F.col("size") == 0, 1).otherwise((F.col("taken") / F.col("size")).cast("int"))
-    taken = scratch.save(taken.select(F.col("doc_id").alias("_k"), times.alias("_times")), "mix_taken")
-    out = base.join(taken.where("_times > 0").hint("merge"), "_k")  # texts are dealt out by key at any size
-    return out.withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    taken = scratch.save(taken.select(F.col("doc_id").alias("_k"), times.alias("times")), "mix_taken")
+    out = base.join(taken.where("times > 0").hint("merge"), "_k")  # texts are dealt out by key at any size
+    out = out.select("_row", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return out.select(*(F.col("_row").getField(x).alias(x) for x in docs.columns))

@@ -10,7 +10,9 @@ source or cluster is spread over all blocks and bins never span blocks.
 
 Defined cases: documents longer than the capacity are cut into pieces, which conflict with
 each other; empty and null texts have one piece of size 0; a null source conflicts with
-nothing; rows of equal text are one cluster; repeated rows are packed each.
+nothing; rows of equal text are one cluster; repeated rows are packed each; of equally long pieces the first by
+key comes first; an empty table gives none. Keys depend on (id, source, size, text) alone, so reruns agree however rows are
+partitioned. Only ``doc_id`` (integers), ``text``, ``source`` and the cluster column are read, whatever others are called.
 """
 
 from __future__ import annotations
@@ -138,7 +140,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, cluster:
     scratch = scratch or Scratch(docs.sparkSession)
     same = F.col(cluster).cast("string") if cluster else F.md5(F.coalesce("text", F.lit("")))
     base = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), same.alias("cluster"))
-    base = keyed(scratch.save(base, "pack_base"), scratch, order=("source", "cluster"))
+    base = keyed(scratch.save(base, "pack_base"), scratch)
     blocks = max(1, -(-base.count() // block))
     return base.withColumn("block", F.pmod(F.xxhash64("_k"), F.lit(blocks)).cast("int")).groupBy("block").applyInPandas(
         _pack(capacity), "doc_id long, piece int, size long, source string, block int, bin long, bin_words long"

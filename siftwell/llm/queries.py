@@ -46,8 +46,8 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select(
-        "doc_id", F.col("_lines").alias("n_lines"), F.col("_removed").alias("n_removed"),
-        F.sha2(F.coalesce("_kept", F.lit("")).cast("binary"), 256).alias("kept_sha256"),
+        "_row.doc_id", F.col("lines").alias("n_lines"), F.col("removed").alias("n_removed"),
+        F.sha2(F.coalesce("kept", F.lit("")).cast("binary"), 256).alias("kept_sha256"),
     )
 
 

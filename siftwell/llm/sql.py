@@ -6,12 +6,14 @@ from siftwell.llm import linedup, sharding
 
 _KEY = "('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 15))::BIGINT"
 
-OP3 = f"""
+
+def op3(limit: int = sharding.LIMIT) -> str:
+    return f"""
 WITH r AS (SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS n_bytes, {_KEY} AS key FROM documents),
 sums AS (
   SELECT d.depth, key >> ({sharding.BITS} - d.depth) AS prefix, sum(n_bytes) AS b, count(*) AS n
   FROM r, (SELECT unnest(range(0, 25))::INT AS depth) d GROUP BY ALL),
-fit AS (SELECT * FROM sums WHERE b <= {sharding.LIMIT} OR n <= 1),
+fit AS (SELECT * FROM sums WHERE b <= {limit} OR n <= 1),
 leaf AS (SELECT r.doc_id, r.n_bytes, r.key, min(f.depth) AS depth
   FROM r JOIN fit f ON f.prefix = r.key >> ({sharding.BITS} - f.depth) GROUP BY ALL)
 SELECT doc_id, n_bytes, l.depth, l.key >> ({sharding.BITS} - l.depth) AS prefix, 0::BIGINT AS part, s.b::BIGINT AS shard_bytes
@@ -22,18 +24,28 @@ OP8 = r"""
 WITH RECURSIVE rules(action, h, p) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
 tags AS (
   SELECT url, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM pages WHERE url IS NOT NULL AND html IS NOT NULL),
-links AS (
+found AS (
   SELECT url, CASE
-    WHEN regexp_matches(tag, '(?i)^<link\b.*\brel\s*=\s*["'']?canonical\b') THEN regexp_extract(tag, '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)
-    WHEN regexp_matches(tag, '(?i)^<meta\b.*\bhttp-equiv\s*=\s*["'']?refresh\b') THEN regexp_extract(tag, '(?i)\burl\s*=\s*[''"]?([^"''\s>;]+)', 1) END AS target
+    WHEN regexp_matches(tag, '(?is)^<link\b.*\brel\s*=\s*["'']?canonical\b') THEN regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)
+    WHEN regexp_matches(tag, '(?is)^<meta\b.*\bhttp-equiv\s*=\s*["'']?refresh\b') THEN regexp_extract(tag, '(?is)\burl\s*=\s*[''"]?([^"''\s>;]+)', 1) END AS target,
+    regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) AS site, regexp_extract(url, '(?s)^([^?#]*)', 1) AS page
   FROM tags),
-urls AS (SELECT url FROM pages UNION SELECT target FROM links WHERE target LIKE '%://%'),
+links AS (
+  SELECT url, CASE
+    WHEN regexp_matches(target, '(?s)^[A-Za-z][A-Za-z0-9+.-]*://') THEN target
+    WHEN site = '' OR target = '' OR target LIKE '#%' OR regexp_matches(target, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
+    WHEN target LIKE '//%' THEN regexp_extract(url, '(?s)^(.*?)://', 1) || ':' || target
+    WHEN target LIKE '?%' THEN page || target
+    WHEN target LIKE '/%' THEN site || target
+    ELSE site || coalesce(nullif(regexp_extract(substr(page, length(site) + 1), '(?s)^(.*/)', 1), ''), '/') || target END AS target  -- dot parts are left to the tests
+  FROM found),
+urls AS (SELECT url FROM pages UNION SELECT target FROM links WHERE target IS NOT NULL),
 parts AS (
   SELECT url, lower(regexp_extract(rest, '(?s)^([^/?#]*)', 1)) AS host, regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) AS path,
     regexp_extract(coalesce(url, ''), '(?s)^[^?#]*(\?[^#]*)', 1) AS query
   FROM (SELECT url, regexp_extract(coalesce(url, ''), '(?s)^.*?://(.*)$', 1) AS rest FROM urls)),
 ruled AS (
-  SELECT url, host, path, host || path || query AS node,
+  SELECT url, host, path, CASE WHEN host <> '' THEN host || path || query END AS node,
     (SELECT max_by(h || p, length(h || p)) FROM rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)) AS rule,
     (SELECT max_by(action, length(h || p)) FROM rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)) AS action
   FROM parts),
@@ -75,7 +87,7 @@ SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 ORACLE_SQL: dict[str, str] = {
-    "op3_extendible_sharding": OP3,
+    "op3_extendible_sharding": op3(),
     "op5_nearest_neighbours": OP5,
     "op8_url_filters": OP8,
     "op9_line_dedup": OP9,

@@ -5,8 +5,12 @@ with the rule's; the longest wins. Urls that no rule fits take the verdict of th
 component: redirect (meta refresh) and canonical-link edges are undirected, and a component
 with an explicitly allowed member is allowed, else blocked if a member is blocked, else allowed.
 
-Defined cases: a null url or one without ``://`` has empty host and path and no rule, and is
-allowed; null html has no edges; repeated rows are judged each; an empty table gives none.
+Targets of links are resolved against the page's url (``//host/x``, ``/x``, ``x``, ``?x``; ``.`` and ``..`` parts are taken out).
+
+Defined cases: a null url or one without ``://`` has empty host and path and no rule, links nothing and is
+allowed; null html has no edges; repeated rows are judged each; of rules that tie an allowing one wins, in rules of equal length as in
+components; very long html is searched whole; an empty table gives none. Only ``page_id``, ``url`` and ``html`` are
+read, whatever other columns are called.
 """
 
 from __future__ import annotations
@@ -42,22 +46,52 @@ def rule_of(host: Column, path: Column, rules: tuple[Rule, ...]) -> tuple[Column
     return best, action
 
 
+def without_dots(path: Column) -> Column:
+    """A path without ``.`` and ``..`` parts."""
+    parts = F.split(path, "/")
+    kept = F.aggregate(
+        F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), F.array().cast("array<string>"),
+        lambda a, x: F.when(x == ".", a).when(x == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.concat(a, F.array(x))),
+    )
+    open_end = F.when(path.rlike(r"/\.{1,2}\z") & (F.size(kept) > 0), "/").otherwise("")
+    return F.when(path.rlike(r"/\.{1,2}(/|\z)"), F.concat(F.lit("/"), F.array_join(kept, "/"), open_end)).otherwise(path)
+
+
+def resolved(url: Column, target: Column) -> Column:
+    """The absolute form of a link's target on a page; null where there is none."""
+    scheme = F.regexp_extract(url, r"(?s)^(.*?)://", 1)
+    site = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1)
+    page = F.regexp_extract(url, r"(?s)^([^?#]*)", 1)
+    folder = F.regexp_extract(F.substring(page, F.length(site) + 1, 1 << 30), r"(?s)^(.*/)", 1)
+    path = F.regexp_extract(target, r"(?s)^([^?#]*)", 1)
+    rest = F.substring(target, F.length(path) + 1, 1 << 30)
+    folder = F.when(folder == "", "/").otherwise(folder)
+    return (
+        F.when(target.rlike(r"(?s)^[A-Za-z][A-Za-z0-9+.-]*://"), target)
+        .when((site == "") | (target == "") | target.startswith("#") | target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
+        .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
+        .when(target.startswith("?"), F.concat(page, target))
+        .when(target.startswith("/"), F.concat(site, without_dots(path), rest))
+        .otherwise(F.concat(site, without_dots(F.concat(folder, path)), rest))
+    )
+
+
 def page_edges(pages: DataFrame) -> DataFrame:
-    """``(url, target)`` from canonical links and refresh redirects with absolute targets in ``pages(url, html)``."""
+    """``(url, target)`` from canonical links and refresh redirects in ``pages(url, html)``."""
     tags = F.when(
         F.col("html").rlike(r"(?i)canonical|http-equiv"),
         F.regexp_extract_all(F.col("html"), F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0)),
     ).otherwise(F.array().cast("array<string>"))
     t = pages.where("url is not null and html is not null").select("url", F.explode(tags).alias("tag"))
-    canonical = F.when(F.col("tag").rlike(r"(?i)^<link\b.*\brel\s*=\s*[\"']?canonical\b"), F.regexp_extract("tag", r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1))
-    refresh = F.when(F.col("tag").rlike(r"(?i)^<meta\b.*\bhttp-equiv\s*=\s*[\"']?refresh\b"), F.regexp_extract("tag", r"(?i)\burl\s*=\s*['\"]?([^\"'\s>;]+)", 1))
-    return t.select("url", F.coalesce(canonical, refresh).alias("target")).where("target like '%://%'")
+    canonical = F.when(F.col("tag").rlike(r"(?is)^<link\b.*\brel\s*=\s*[\"']?canonical\b"), F.regexp_extract("tag", r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1))
+    refresh = F.when(F.col("tag").rlike(r"(?is)^<meta\b.*\bhttp-equiv\s*=\s*[\"']?refresh\b"), F.regexp_extract("tag", r"(?is)\burl\s*=\s*['\"]?([^\"'\s>;]+)", 1))
+    return t.select("url", resolved(F.col("url"), F.coalesce(canonical, refresh)).alias("target")).where("target is not null")
 
 
 def node(url: Column) -> Column:
     """A url's node: host, path and query; scheme and fragment don't matter."""
     host, path = host_path(url)
-    return F.concat(host, path, F.regexp_extract(url, r"(?s)^[^?#]*(\?[^#]*)", 1))
+    return F.when(host != "", F.concat(host, path, F.regexp_extract(url, r"(?s)^[^?#]*(\?[^#]*)", 1)))
 
 
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, edges: DataFrame | None = None, scratch: Scratch | None = None) -> DataFrame:
@@ -73,8 +107,6 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, edges: DataFrame |
     if edges is not None:
         links = links.union(edges.select("url", "target"))
     links = scratch.save(links, "links")
-    if links.isEmpty():
-        return p.select("page_id", "host", "path", "rule", F.coalesce("action", F.lit("allow")).alias("verdict"))
     ends = links.select(F.explode(F.array("url", "target")).alias("url")).where("url is not null").distinct()
     h, q = host_path(F.col("url"))
     decided = ends.select(node(F.col("url")).alias("node"), rule_of(h, q, rules)[1].alias("action")).where("action is not null")

@@ -35,5 +35,16 @@ def test_odd_vectors(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = sorted(map(tuple, ann.search(df, F.col("vec_id") % 50 == 0).select("query_id", "rank", "vec_id").collect()))
     assert got == [(0, 1, 50), (0, 2, 6), (50, 1, 0), (50, 2, 6)]
+    both = df.union(spark.createDataFrame([(100, [2.0]), (101, [-1.0])], "vec_id long, embedding array<double>"))
+    got = sorted(map(tuple, ann.search(both, F.col("vec_id") % 50 == 0).select("query_id", "rank", "vec_id").collect()))
+    assert got == [(0, 1, 50), (0, 2, 6), (50, 1, 0), (50, 2, 6), (100, 1, 7), (100, 2, 101)]
     assert ann.search(df.where("vec_id = 1"), F.col("vec_id") % 50 == 0).collect() == []
     assert ann.search(df.where("vec_id = 0"), F.col("vec_id") % 50 == 0).collect() == []
+
+
+def test_many_components(spark):
+    rng = np.random.default_rng(2)
+    v = np.abs(rng.normal(size=(40, 1500)))
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, ann.search(df, F.col("vec_id") % 20 == 0, 3).collect()))
+    assert got == brute({i: [float(x) for x in r] for i, r in enumerate(v)}, (0, 20), 3)

@@ -1,4 +1,4 @@
-from collections import Counter
+from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
@@ -18,11 +18,21 @@ def brute(rows, similarity=0.8):
             x = up[x]
         return x
 
-    for a, b in combinations(range(n), 2):
-        x, y = sets[a], sets[b]
-        least = sum(min(x[g], y[g]) * idf[g] for g in x if g in y)
-        most = sum(v * idf[g] for s in (x, y) for g, v in s.items()) - least
-        if (rows[a][1] or "") == (rows[b][1] or "") or (most and least / most >= similarity):
+    total, shared, holders = [sum(v * idf[g] for g, v in s.items()) for s in sets], Counter(), defaultdict(list)
+    for i, s in enumerate(sets):
+        for g in s:
+            holders[g].append(i)
+    for g, held in holders.items():
+        for a, b in combinations(held, 2):
+            shared[a, b] += min(sets[a][g], sets[b][g]) * idf[g]
+    texts = defaultdict(list)
+    for i, (_, t, *_) in enumerate(rows):
+        texts[t or ""].append(i)
+    same = {(held[0], b) for held in texts.values() for b in held[1:]}
+    for a, b in sorted(same | set(shared)):
+        least = shared[a, b]
+        most = total[a] + total[b] - least
+        if (a, b) in same or (most and least / most >= similarity):
             i, j = sorted((find(a), find(b)))
             up[j] = i
     return [rows[find(i)][0] for i in range(n)]
@@ -45,6 +55,7 @@ def test_odd_rows(spark, docs, odd_rows):
     assert len(got) == len(odd_rows)
     kept = neardup.keep_first(docs(odd_rows))
     assert kept.columns == docs([]).columns
+    assert {(r["_k"], r["rank"]) for r in kept.collect()} == {("clash", 7)}
     assert Counter(r["text"] or "" for r in kept.collect()) == Counter({t or "" for _, t, _ in odd_rows})
 
 
@@ -60,3 +71,29 @@ def test_samples_agree_as_often_as_sets(rng):
     s = neardup.Sampler(4000)
     sig = s.signatures(np.repeat([0, 1], 60), np.concatenate([h, h]), np.concatenate([wa, wb]), 2)
     assert abs((sig[0] == sig[1]).mean() - np.minimum(wa, wb).sum() / np.maximum(wa, wb).sum()) < 0.03
+
+
+def test_recall_against_all_pairs(spark):
+    """On given documents: of all pairs of different texts at 0.8 or more, by weighted similarity, 0.9 at least are in one class; and none but linked ones are."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = sorted((r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect())
+    got = dict(map(tuple, neardup.near_classes(docs).collect()))
+    want = dict(zip((i for i, _ in rows), brute(rows)))
+    pairs = [(a, b) for a, b in want.items() if a != b]
+    assert sum(got[a] == got[b] for a, b in pairs) >= 0.9 * len(pairs)
+    assert all(want[i] == want[c] for i, c in got.items())
+
+
+def test_few_shingles_leave_a_small_partition(spark, rng):
+    """However documents are dealt into partitions, shingles that stand once are not sent out."""
+    import pyarrow as pa
+
+    texts = [words(rng, 60) for _ in range(450)]
+    out = list(neardup._frequent(iter([pa.RecordBatch.from_arrays([pa.array(texts[i : i + 150])], names=["text"]) for i in range(0, 450, 150)])))
+    assert sum(b.num_rows for b in out) == 0
+
+
+def test_very_long_text(spark, docs, rng):
+    text = words(rng, 60_000)
+    got = dict(map(tuple, neardup.near_classes(docs([(1, text, "s"), (2, text + " more", "s"), (3, "other words are here now", "s")])).collect()))
+    assert got == {1: 1, 2: 1, 3: 3}

@@ -51,3 +51,21 @@ def test_odd_rows(spark, docs, odd_rows):
     assert len(got[got.piece == 0]) == len(odd_rows)
     assert packing.pack(docs([])).collect() == []
     assert isinstance(got, pd.DataFrame)
+
+
+def test_pack_against_brute_force(spark, docs, rng):
+    """One block: the same bins as by looking at every bin."""
+    rows = [(i, words(rng, rng.randint(0, 90)), f"s{rng.randint(0, 5)}") for i in range(150)] + [(200 + i, "same text here", f"t{i}") for i in range(4)]
+    got = packing.pack(docs(rows), capacity=100, block=10_000).toPandas()
+    got = got.sort_values(["size", "doc_id"], ascending=[False, True], kind="stable")
+    bit, text = {}, {i: t for i, t, _ in rows}
+    masks = [1 << bit.setdefault(("s", r.source), len(bit)) | 1 << bit.setdefault(("t", text[r.doc_id]), len(bit)) for r in got.itertuples()]
+    assert got["bin"].tolist() == naive(got["size"].tolist(), masks, 100)
+
+
+def test_reruns_agree_with_repeated_ids(spark, docs, rng):
+    rows = [(i % 50, words(rng, rng.randint(1, 60)), rng.choice(["a", "b", "c", None])) for i in range(300)] + [(None, "x y", "a")] * 5
+    one = packing.pack(docs(rows), capacity=100, block=64).collect()
+    rng.shuffle(rows)
+    two = packing.pack(docs(rows).repartition(7), capacity=100, block=64).collect()
+    assert sorted(map(tuple, one), key=repr) == sorted(map(tuple, two), key=repr)

@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from siftwell.llm.queries import QUERIES
@@ -35,6 +36,37 @@ def test_stages(spark, docs, rng, tmp_path):
     assert all(r["bin_words"] <= 2048 for r in packed)
 
 
+def labels(spark, path):
+    spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, toxic int").write.mode("overwrite").parquet(f"{path}/labels.parquet")
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_stage_on_odd_and_empty_tables(spark, docs, odd_rows, tmp_path, name, stage):
+    """Columns whose names operators use inside keep their values; repeated and null ids, empty texts and an empty table pass."""
+    labels(spark, tmp_path)
+    clash = lambda rows: docs(rows).withColumnsRenamed({"n_chars": "text_k"}).withColumns({c: F.lit(c) for c in ("_row", "runs", "times", "toxic", "score", "component", "h")})
+    out, none = stage(spark, clash(odd_rows), str(tmp_path)), stage(spark, clash([]), str(tmp_path))
+    assert none.collect() == [] and none.columns == out.columns
+    if name == corpus_pipeline.STAGES[-1][0]:
+        assert {r["doc_id"] for r in out.collect()} == {r[0] for r in odd_rows}
+        return
+    assert out.dtypes == clash([]).dtypes
+    got = out.collect()
+    assert got and all((r["_row"], r["runs"], r["times"], r["_k"], r["rank"], r["h"]) == ("_row", "runs", "times", "clash", 7, "h") for r in got)
+    assert {r["doc_id"] for r in got} >= {None, 1, 2, 6}
+
+
+def test_pipeline_reruns_agree(spark, docs, rng, tmp_path):
+    labels(spark, tmp_path)
+    rows = [(i % 90, words(rng, rng.randint(3, 40)), rng.choice("abc")) for i in range(240)]
+    out = []
+    for parts in (1, 7):
+        rng.shuffle(rows)
+        docs(rows).drop("_k", "rank").repartition(parts).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+        out.append(sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect()), key=repr))
+    assert out[0] and out[0] == out[1]
+
+
 @pytest.mark.parametrize("name", ORACLE_SQL)
 def test_query(spark, name):
     con = duckdb.connect()

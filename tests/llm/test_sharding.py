@@ -1,6 +1,10 @@
 from collections import defaultdict
 
+import duckdb
+
 from siftwell.llm import sharding
+from siftwell.llm.sql import op3
+from verify import rows as canonical
 
 
 def test_shards_fit_and_split_only_when_over(spark, docs, rng):
@@ -31,3 +35,12 @@ def test_repeated_rows(spark, docs):
 def test_odd_rows(spark, docs, odd_rows):
     assert sharding.shard(docs(odd_rows), limit=4000).count() == len(odd_rows)
     assert sharding.shard(docs([])).collect() == []
+
+
+def test_same_as_sql_where_buckets_split(spark, docs, rng):
+    table = docs([(i, "x" * int(rng.paretovariate(0.8)), "s") for i in range(600)] + [(700, None, "s"), (701, "", "s")])
+    con = duckdb.connect()
+    con.register("documents", table.toPandas())
+    got, want = sharding.shard(table, limit=900).toPandas(), con.execute(op3(900)).fetchdf()
+    assert got["depth"].nunique() > 3
+    assert sorted(got.columns) == sorted(want.columns) and canonical(got) == canonical(want)

@@ -1,4 +1,10 @@
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
 from siftwell.llm import urlfilter
+from siftwell.llm.sql import OP8
+from verify import rows as canonical
 
 RULES = urlfilter.RULES
 
@@ -41,3 +47,32 @@ def test_extra_edges_and_empty(spark):
     e = spark.createDataFrame([("http://a.com/", "http://b.net/"), (None, "http://c.com/")], "url string, target string")
     assert [v[3] for v in judged(spark, [("http://a.com/", None), ("http://c.com/", None)], edges=e)] == ["block", "allow"]
     assert judged(spark, []) == []
+
+
+@pytest.mark.parametrize("target, want", [
+    ("x", "http://a.b/c/x"), ("../x", "http://a.b/x"), ("../../../x", "http://a.b/x"), ("./x/./y/", "http://a.b/c/x/y/"), ("..", "http://a.b/"), (".", "http://a.b/c/"), ("/x/../y?z/../w", "http://a.b/y?z/../w"),
+    ("//q.org/fr/", "http://q.org/fr/"), ("?z", "http://a.b/c/d?z"), ("#z", None), ("", None), (None, None), ("mailto:x", None), ("https://x.y/z", "https://x.y/z"), ("/", "http://a.b/"), ("x..y", "http://a.b/c/x..y"),
+])
+def test_targets(spark, target, want):
+    df = spark.createDataFrame([("http://a.b/c/d?e#f", target)], "u string, t string")
+    assert df.select(urlfilter.resolved(F.col("u"), F.col("t"))).first()[0] == want
+
+
+def test_same_as_sql_where_pages_have_links(spark, rng):
+    hosts = ["a.com", "b.org", "example.net", "x.net", "example.com", "M.example.COM", "c.de"]
+    urls = [f"http{rng.choice(['', 's'])}://{rng.choice(hosts)}/{rng.choice(['fr/', 'de/', 'en/', ''])}{i % 40}{rng.choice(['', '?q', '#f'])}" for i in range(160)]
+    target = lambda: rng.choice([rng.choice(urls), "/fr/" + str(rng.randint(0, 40)), "7", "//x.net/1", "?q", "#top", "mailto:me"])
+    page = lambda: rng.choice(["", "<p>no link</p>", link(target()), hop(target()), f"<link\nhref='{target()}'\nrel='canonical'>"])
+    rows = [(i, u, page() * rng.randint(0, 2)) for i, u in enumerate(urls)] + [(900, None, link("http://x.net/")), (901, "no url", link("/1")), (902, "http://a.com/", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert urlfilter.page_edges(df).count() > 50
+    con = duckdb.connect()
+    con.register("pages", df.toPandas())
+    got, want = urlfilter.judge(df).toPandas(), con.execute(OP8).fetchdf()
+    assert canonical(got) == canonical(want)
+    assert (got["rule"].isna() & (got["verdict"] == "block")).any()
+
+
+def test_very_long_html(spark):
+    html = "<p>text</p>" * 200_000 + link("http://x.net/1")
+    assert judged(spark, [("http://a.com/1", html)])[0][3] == "block"
