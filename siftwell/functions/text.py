@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: ASCII punctuation, in code order.
+#: ASCII punctuation, in code order.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -37,6 +37,11 @@ def alphanumeric_terms(c: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda x: x != "")
 
 
+def term_count(c: Column) -> Column:
+    """How many ``alphanumeric_terms`` there are."""
+    return F.regexp_count(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"))
+
+
 def clean_tokens(c: Column) -> Column:
     """Tokens with all but Latin, Cyrillic letters, digits, hyphens and underscores replaced by spaces."""
     t = F.split(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{IsLatin}\p{IsCyrillic}0-9_\-]+", " "), " ")

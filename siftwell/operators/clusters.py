@@ -36,8 +36,8 @@ def topic_words(tokens: DataFrame, k: int) -> DataFrame:
 
     tf = tokens.groupBy("topic", "term").agg(F.count(F.lit(1)).alias("n"))
     per_topic = tf.groupBy("topic").agg(F.sum("n").alias("words"))
-    a = per_topic.agg(F.avg("words")).first()[0] or 0.0
+    a = per_topic.agg(F.avg("words")).scalar()  # a subquery: the counts are made once for all branches
     f = tf.groupBy("term").agg(F.sum("n").alias("f"))
-    s = tf.join(per_topic, "topic").join(f, "term").withColumn("score", F.col("n") / F.col("words") * F.log1p(F.lit(a) / F.col("f")))
+    s = tf.join(per_topic, "topic").join(f, "term").withColumn("score", F.col("n") / F.col("words") * F.log1p(a / F.col("f")))
     w = Window.partitionBy("topic").orderBy(F.col("score").desc(), "term")
     return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("topic", "rank", "term", "score")

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+# Default cutoffs and names of metrics.
 CUTOFFS = (1, 2, 5, 10, 12, 15, 20)
 METRICS = ("HitRate", "mrr", "map", "ndcg")
 _ALIASES = {"hr": "HitRate", "hitrate": "HitRate", "mrr": "mrr", "map": "map", "ndcg": "ndcg"}

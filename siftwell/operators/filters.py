@@ -101,7 +101,9 @@ COMPARISONS: dict[str, Callable[[Column, Any, Any], Column]] = {
     "in": _any,
     "not in": lambda c, kind, value: ~_any(c, kind, value),
 }
-INVERSE = {"==": "!=", "!=": "==", ">": "<=", "<=": ">", ">=": "<", "<": ">=", "in": "not in", "not in": "in"}
+# Operators and their negations.
+NEGATIONS = (("==", "!="), (">", "<="), (">=", "<"), ("in", "not in"))
+INVERSE = dict(NEGATIONS) | {b: a for a, b in NEGATIONS}
 
 
 def _leaf(schema: StructType, f: dict, inverted: bool) -> Column:

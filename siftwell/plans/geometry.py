@@ -45,15 +45,16 @@ def t06_decoupled_info_nce(spark, d):
 
 
 _BANK = """
-bank AS (SELECT vec_id AS slot, embedding::DOUBLE[] AS v, label FROM embeddings WHERE vec_id < 24),
-bs AS (SELECT b.batch, b.i, k.slot, list_inner_product(b.v, k.v) AS s, b.label = k.label AS match FROM b, bank k WHERE b.batch < 8)"""
+bs AS (SELECT b.batch, b.i, k.vec_id AS slot, list_inner_product(b.v, k.embedding::DOUBLE[]) AS s, b.label = k.label AS match FROM b JOIN embeddings k ON k.vec_id >= b.batch * 16 - 24 AND k.vec_id < b.batch * 16)"""
 
 
 def _bank(spark, d):
+    """Each batch of 16 against a first-in-first-out bank of the 24 vectors before it."""
     e = table(spark, d, "embeddings")
-    q = e.where("vec_id < 128").select(F.floor(F.col("vec_id") / 16).alias("batch"), (F.col("vec_id") % 16).alias("i"), F.col("embedding").alias("v"), "label")
-    bank = F.broadcast(e.where("vec_id < 24").select(F.col("vec_id").alias("slot"), F.col("embedding").alias("bv"), F.col("label").alias("bl")))  # a bank of 24 rows
-    return q.join(bank, F.lit(True)).select("batch", "i", "slot", vectors.dot(F.col("v"), F.col("bv")).alias("s"), (F.col("label") == F.col("bl")).alias("match"))
+    q = e.select(F.floor(F.col("vec_id") / 16).alias("batch"), (F.col("vec_id") % 16).alias("i"), F.col("embedding").alias("v"), "label")
+    held = F.explode(F.sequence(F.floor(F.col("vec_id") / 16) + 1, F.floor((F.col("vec_id") + 24) / 16)))
+    bank = e.select(held.alias("batch"), F.col("vec_id").alias("slot"), F.col("embedding").alias("bv"), F.col("label").alias("bl"))
+    return q.join(bank, "batch").select("batch", "i", "slot", vectors.dot(F.col("v"), F.col("bv")).alias("s"), (F.col("label") == F.col("bl")).alias("match"))
 
 
 @query(f"WITH {_BATCH}, {_BANK}, sel AS (SELECT batch, i, slot, row_number() OVER (PARTITION BY batch, i ORDER BY s DESC, slot) AS r FROM bs WHERE NOT match) SELECT batch, i, slot FROM sel WHERE r <= 4")
@@ -62,11 +63,11 @@ def o02_hard_bank_selection(spark, d):
 
 
 @query(f"""WITH {_BATCH}, {_BANK}, w AS (SELECT batch, i, slot, s, 0.5 * 15 / count(*) OVER (PARTITION BY batch, i) AS weight FROM bs WHERE NOT match),
-z AS (SELECT batch, i, s / 0.05 AS z, i = j AS pos FROM s WHERE batch < 8 UNION ALL SELECT batch, i, s / 0.05 + ln(weight), false FROM w)
+z AS (SELECT batch, i, s / 0.05 AS z, i = j AS pos FROM s UNION ALL SELECT batch, i, s / 0.05 + ln(weight), false FROM w)
 SELECT batch, i, round(ln(sum(exp(z))) - max(z) FILTER (pos), 6) AS loss FROM z GROUP BY ALL""")
 def t07_info_nce_with_bank(spark, d):
     w = training.mass_weight(training.bank_selection(_bank(spark, d), "all"), 16, 0.5)
-    return _rounded(training.info_nce_with_bank(batch_scores(spark, d).where("batch < 8"), w, 0.05), "batch", "i")
+    return _rounded(training.info_nce_with_bank(batch_scores(spark, d), w, 0.05), "batch", "i")
 
 
 @query(f"""WITH {_BATCH}, {_BANK}, t AS (SELECT batch, i, max(bs.s) AS top FROM bs GROUP BY ALL)
@@ -109,11 +110,13 @@ def t11_overlap_losses(spark, d):
     return _rounded(training.overlap_losses(x, "p", "y"))
 
 
-@query(f"""WITH {_BATCH}, t AS (SELECT i, j, exp(s / 0.2) / sum(exp(s / 0.2)) OVER (PARTITION BY i) AS p FROM s WHERE batch = 0), u AS (SELECT i, j, exp(s / 0.2) / sum(exp(s / 0.2)) OVER (PARTITION BY i) AS q FROM s WHERE batch = 1)
-SELECT i, round(sum(p * (ln(p) - ln(q))), 6) AS kl, round(-sum(p * ln(p)), 6) AS entropy FROM t JOIN u USING (i, j) GROUP BY 1""")
+@query(f"""WITH {_BATCH}, t AS (SELECT batch, i, j, exp(s / 0.2) / sum(exp(s / 0.2)) OVER (PARTITION BY batch, i) AS p FROM s), u AS (SELECT batch - 1 AS batch, i, j, p AS q FROM t)
+SELECT batch * 16 + i AS i, round(sum(p * (ln(p) - ln(q))), 6) AS kl, round(-sum(p * ln(p)), 6) AS entropy FROM t JOIN u USING (batch, i, j) GROUP BY 1""")
 def t12_neighbourhood_kl(spark, d):
+    """Each batch as the teacher of the next one."""
+    at = lambda df, shift: df.select(((F.col("batch") - shift) * 16 + F.col("i")).alias("i"), "j", "s")
     s = batch_scores(spark, d)
-    return _rounded(training.neighbourhood_kl(s.where("batch = 1").drop("batch"), s.where("batch = 0").drop("batch"), 0.2), "i")
+    return _rounded(training.neighbourhood_kl(at(s, 1), at(s, 0), 0.2), "i")
 
 
 @query("""WITH p AS (SELECT a.vec_id, a.embedding::DOUBLE[] AS g, b.embedding::DOUBLE[] AS r FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1),

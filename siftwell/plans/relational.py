@@ -45,9 +45,9 @@ def j05_verified_negatives(spark, d):
     return relational.verified_negatives(q, p)
 
 
-@query("WITH r AS (SELECT o_orderkey AS request_id, [o_custkey, 1000000000, o_orderkey] AS ids FROM orders WHERE o_orderkey % 10 = 0) SELECT request_id, i - 1 AS pos, c_custkey AS id, c_name AS name FROM (SELECT request_id, generate_subscripts(ids, 1) AS i, unnest(ids) AS id FROM r) JOIN customer ON c_custkey = id")
+@query("WITH r AS (SELECT o_orderkey AS request_id, [o_custkey, 1000000000, o_orderkey] AS ids FROM orders) SELECT request_id, i - 1 AS pos, c_custkey AS id, c_name AS name FROM (SELECT request_id, generate_subscripts(ids, 1) AS i, unnest(ids) AS id FROM r) JOIN customer ON c_custkey = id")
 def j06_ordered_lookup(spark, d):
-    r = table(spark, d, "orders").where("o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("request_id"), F.array(F.col("o_custkey").cast("long"), F.lit(1000000000).cast("long"), F.col("o_orderkey").cast("long")).alias("ids"))
+    r = table(spark, d, "orders").select(F.col("o_orderkey").alias("request_id"), F.array(F.col("o_custkey").cast("long"), F.lit(1000000000).cast("long"), F.col("o_orderkey").cast("long")).alias("ids"))
     return relational.lookup(r, table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))).select("request_id", "pos", "id", "name")
 
 
@@ -200,11 +200,11 @@ def u04_dedup_pairs(spark, d):
     return relational.first_per(li, ["l_partkey", "l_suppkey"], "seq")
 
 
-@query("SELECT c.conv_id, t - 1 AS query_pos, r AS query, n FROM (SELECT conv_id, list(role ORDER BY turn) AS roles, count(*) AS n FROM conversations GROUP BY 1) c, LATERAL (SELECT generate_subscripts(roles, 1) AS t, unnest(roles) AS r) ORDER BY 1, 2 LIMIT 200")
+@query("SELECT c.conv_id, t - 1 AS query_pos, r AS query, n FROM (SELECT conv_id, list(role ORDER BY turn) AS roles, count(*) AS n FROM conversations GROUP BY 1) c, LATERAL (SELECT generate_subscripts(roles, 1) AS t, unnest(roles) AS r)")
 def t01_training_rows(spark, d):
     g = table(spark, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role"))).alias("r"), F.count(F.lit(1)).alias("n"))
     g = g.select("conv_id", F.transform("r", lambda x: x["role"]).alias("queries"), "n")
-    return training.training_rows(g, "queries", "n", "conv_id", 200).select("conv_id", F.col("query_pos").cast("long").alias("query_pos"), "query", "n")
+    return training.training_rows(g, "queries", "n", "conv_id").select("conv_id", F.col("query_pos").cast("long").alias("query_pos"), "query", "n")
 
 
 def _keyed_batches(spark, d):

@@ -9,7 +9,8 @@ from siftwell.operators import evaluate, search
 from siftwell.plans.registry import query, table
 
 _TERMS = r"list_filter(string_split_regex(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
-_Q = "SELECT item_id AS query_id, array_to_string(string_split(text, ' ')[:8], ' ') AS query FROM benchmark WHERE item_id % 4 = 0"
+# Searches take every query whose id is divisible by 100, with its whole text, against all rows.
+_Q = "SELECT item_id AS query_id, text AS query FROM benchmark WHERE item_id % 100 = 0"
 _BM25 = f"""
 q AS ({_Q}),
 qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({_TERMS.format('query')}) AS term FROM q) GROUP BY ALL),
@@ -22,8 +23,7 @@ s AS (SELECT query_id, doc_id, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5
 
 
 def _queries(spark: SparkSession, d: str) -> DataFrame:
-    b = table(spark, d, "benchmark").where("item_id % 4 = 0")
-    return b.select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 8), " ").alias("query"))
+    return table(spark, d, "benchmark").where("item_id % 100 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 def _documents(spark: SparkSession, d: str) -> DataFrame:
@@ -45,13 +45,13 @@ def r01_bm25_search_filtered(spark, d):
 
 _COS = """
 v AS (SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings WHERE embedding IS NOT NULL),
-c AS (SELECT q.vec_id AS query_id, c.vec_id AS doc_id, q.label = c.label AS relevant, round((1 + list_cosine_similarity(q.v, c.v)) / 2, 12) AS score FROM v q JOIN v c ON q.vec_id % 25 = 0),
+c AS (SELECT q.vec_id AS query_id, c.vec_id AS doc_id, q.label = c.label AS relevant, round((1 + list_cosine_similarity(q.v, c.v)) / 2, 12) AS score FROM v q JOIN v c ON q.vec_id % 100 = 0),
 n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, doc_id) AS rank FROM c) WHERE rank <= 10)"""
 
 
 def _vectors(spark, d):
     e = table(spark, d, "embeddings")
-    return e.select(F.col("vec_id").alias("doc_id"), "embedding"), e.where("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return e.select(F.col("vec_id").alias("doc_id"), "embedding"), e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
 
 
 @query(f"WITH {_COS} SELECT query_id, rank::INT AS rank, doc_id, round(score, 6) AS score FROM n")
@@ -79,7 +79,7 @@ def r03_score_fusion(spark, d):
     return search.fuse(kw, ve, 0.3, 20).select("query_id", "doc_id", F.round("score", 6).alias("score"))
 
 
-@query(f"""WITH {_BM25}, {_COS.replace('row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, doc_id) AS rank FROM c) WHERE rank <= 10', '1 AS rank FROM c) WHERE false').replace('q.vec_id % 25 = 0', 'q.vec_id IN (SELECT query_id FROM q)')},
+@query(f"""WITH {_BM25}, {_COS.replace('row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, doc_id) AS rank FROM c) WHERE rank <= 10', '1 AS rank FROM c) WHERE false').replace('q.vec_id % 100 = 0', 'q.vec_id IN (SELECT query_id FROM q)')},
 kc AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM s) WHERE r <= 100),
 vc AS (SELECT * FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, doc_id) AS r FROM c) WHERE r <= 100),
 ks AS (SELECT query_id, doc_id, coalesce((score - min(score) OVER w) / nullif(max(score) OVER w - min(score) OVER w, 0), 1.0) AS ks FROM kc WINDOW w AS (PARTITION BY query_id)),

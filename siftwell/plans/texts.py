@@ -97,9 +97,9 @@ def x15_gamma(spark, d):
 
 
 _IDF = """
-WITH t AS (SELECT a.conv_id, {q} AS q, {d} AS d FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 AND a.turn = 0),
-w AS (SELECT conv_id, q, d, list_transform(q, lambda x: 1 / ln(1 + greatest(1, len(list_filter(d, lambda y: y = x))))) AS w FROM t)
-SELECT conv_id, round(coalesce(list_sum([CASE WHEN list_contains(d, q[i]) THEN w[i] ELSE 0 END FOR i IN range(1, len(q) + 1)]), 0) / CASE WHEN len(q) = 0 THEN 1 ELSE list_sum(w) END, 6) AS recall,
+WITH t AS (SELECT a.conv_id, a.turn, {q} AS q, {d} AS d FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),
+w AS (SELECT conv_id, turn, q, d, list_transform(q, lambda x: 1 / ln(1 + greatest(1, len(list_filter(d, lambda y: y = x))))) AS w FROM t)
+SELECT conv_id, turn, round(coalesce(list_sum([CASE WHEN list_contains(d, q[i]) THEN w[i] ELSE 0 END FOR i IN range(1, len(q) + 1)]), 0) / CASE WHEN len(q) = 0 THEN 1 ELSE list_sum(w) END, 6) AS recall,
  round(coalesce(list_sum([1 / ln(1 + len(list_filter(d, lambda y: y = x))) FOR x IN list_distinct(q) IF list_contains(d, x)]), 0), 6) AS keyword_recall,
  len(list_intersect(list_distinct(q), list_distinct(d)))::INT AS common FROM w
 """.format(q=_TOKENS.format("a.text"), d=_TOKENS.format("b.text"))
@@ -108,11 +108,11 @@ SELECT conv_id, round(coalesce(list_sum([CASE WHEN list_contains(d, q[i]) THEN w
 @query(_IDF)
 def x16_inverse_idf_recall(spark, d):
     c = table(spark, d, "conversations")
-    a = c.where("turn = 0").select("conv_id", text.tokens(F.col("text")).alias("q"))
-    b = c.where("turn = 1").select("conv_id", text.tokens(F.col("text")).alias("d"))
+    a = c.select("conv_id", "turn", text.tokens(F.col("text")).alias("q"))
+    b = c.select("conv_id", (F.col("turn") - 1).alias("turn"), text.tokens(F.col("text")).alias("d"))
     q, x = F.col("q"), F.col("d")
-    return a.join(b, "conv_id").select(
-        "conv_id", F.round(text.inverse_idf_recall(q, x), 6).alias("recall"), F.round(text.keyword_recall(q, x), 6).alias("keyword_recall"), text.common_words(q, x).alias("common")
+    return a.join(b, ["conv_id", "turn"]).select(
+        "conv_id", "turn", F.round(text.inverse_idf_recall(q, x), 6).alias("recall"), F.round(text.keyword_recall(q, x), 6).alias("keyword_recall"), text.common_words(q, x).alias("common")
     )
 
 
@@ -163,13 +163,13 @@ def p22_score_precedence(spark, d):
 
 def _raw_documents(spark, d):
     """Documents as rows with labels in three shapes."""
-    t = table(spark, d, "documents").where("doc_id % 5 <> 4")
+    t = table(spark, d, "documents")
     q = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit(" what is "), "source")).when(F.col("doc_id") % 4 == 1, F.to_json(F.array(F.concat(F.lit(" "), "lang"), F.lit(""), F.col("source")))).when(F.col("doc_id") % 4 == 2, F.lit(None)).otherwise(F.lit("[not json"))
     return t.select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("text").alias("content"), q.alias("queries"), "lang", "source", "n_chars")
 
 
 @query("""SELECT doc_id::VARCHAR AS id, md5(text) AS content, CASE doc_id % 4 WHEN 0 THEN [' what is ' || source] WHEN 1 THEN [lang, source] WHEN 2 THEN []::VARCHAR[] ELSE ['[not json'] END AS labels,
- lang AS extra_lang, n_chars::VARCHAR AS extra_chars FROM documents WHERE doc_id % 5 <> 4""")
+ lang AS extra_lang, n_chars::VARCHAR AS extra_chars FROM documents""")
 def p04_documents_adapter(spark, d):
     docs = adapt.to_documents(_raw_documents(spark, d), required=("lang",))
     return docs.select("id", F.md5("content").alias("content"), "meta.labels", F.col("meta.extra")["lang"].alias("extra_lang"), F.col("meta.extra")["n_chars"].alias("extra_chars"))

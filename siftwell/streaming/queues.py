@@ -72,7 +72,9 @@ def mapped(df: DataFrame, call: Callable[[str], str], column: str, key: str = "i
     """Call a slow function per row, ``threads`` at a time in each task; late or failed calls give rows with an error."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        with ThreadPoolExecutor(threads) as pool:
+        # A late call's thread is left behind: leaving a ``with`` block would wait for it.
+        pool = ThreadPoolExecutor(threads)
+        try:
             for pdf in batches:
                 jobs = [pool.submit(call, x) for x in pdf[column]]
                 rows = []
@@ -84,6 +86,8 @@ def mapped(df: DataFrame, call: Callable[[str], str], column: str, key: str = "i
                     except Exception as e:  # noqa: BLE001
                         rows.append((k, None, f"{type(e).__name__}: {e}"))
                 yield pd.DataFrame(rows, columns=["id", "text", "error"])
+        finally:
+            pool.shutdown(wait=False, cancel_futures=True)
 
     kind = dict(df.dtypes)[key]
     return df.select(key, column).mapInPandas(run, f"id {kind}, text string, error string")
