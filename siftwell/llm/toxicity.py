@@ -7,11 +7,13 @@ clause into one of ``KINDS``. They are composed into one machine. The lists hold
 few languages, so further insults are learned as weighted stems (a lexicon) from the labelled rows
 outside the held-out fold; the first transducers leave out those that are negated or reported. A
 document's score is a logistic function of its counts of matched clauses by kind and of the
-learned words' weight, in all and as a share of its words, with weights learned from the same
-rows; labels, language, source and id are no inputs.
+learned words' weight, in all and as a share of its words, with weights learned from
+rows outside the held-out fold as well; labels, language, source and id are no inputs.
 
 Defined cases: null or empty text matches no clause and gets the score of such texts; texts of
-any length are read whole, clause by clause; repeated rows get equal scores.
+any length are read whole, clause by clause; repeated rows get equal scores; rows whose id has several labels teach
+each; of stems that tie the longer, then the first in order is learned; without labels of both kinds the weights are the
+prior ones; an empty table gives no rows. Other columns, whatever they are called, pass through ``keep_clean`` unchanged.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -27,7 +29,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from siftwell.llm.common import Scratch
 
@@ -45,10 +47,11 @@ NEGATIONS = "not never no isn't aren't wasn't don't doesn't won't nicht kein kei
 REPORTED = "said says called wrote quoted reported claimed sagte schrieb nannte dit écrit appelé dijo escribió llamó".split()
 
 KINDS = ("insult_target", "insult_bare", "threat_target", "negated", "reported")
-#: What the learned stems add: levels of their weight in the whole text and in 100 of its words.
+#: What the learned stems add: their weight in the whole text and in 100 of its words.
 LEARNED = ("learned", "learned_share")
-#: Counts and levels above this count as this much; so there are at most (MOST + 1) ** 7 distinct feature rows.
-MOST = 3
+FEATURES = KINDS + LEARNED
+#: Labelled rows that the logistic weights are fitted on at most, the first by a hash of their ids; the lexicon is learned from all.
+FITTED_ROWS = 50_000
 #: A stem is a word's first 4 to 12 letters, or a whole word, which ends in "$".
 STEM = (4, 12)
 #: Stems are learned that this share of the toxic rows hold, in this many rows at least, with this G^2 and these log-odds at least; the best by G^2.
@@ -160,21 +163,42 @@ def stems(word: str) -> list[str]:
     return [] if word in SYMBOLS else [word + "$", *(word[:k] for k in range(STEM[0], min(len(word), STEM[1]) + 1))]
 
 
-def learned(text: str | None, lexicon: dict[str, float]) -> list[int]:
-    """Levels of ``LEARNED``: 0 below a weight of 1, then one more for each doubling. Negated and reported words weigh nothing."""
-    total, n = 0.0, 0
-    for part in _END.split(text or ""):
+class Known(dict):
+    """Words already looked up, with what ``f`` says of them; forgotten when there are too many."""
+
+    def __init__(self, f: Callable[[str], object]):
+        super().__init__()
+        self.f = f
+
+    def __missing__(self, word: str) -> object:
+        if len(self) >= HELD:
+            self.clear()
+        self[word] = found = self.f(word)
+        return found
+
+
+def weight_of(lexicon: dict[str, float]) -> Known:
+    """A word's weight: the greatest of its stems' weights, 0 where none is known."""
+    return Known(lambda w: max((lexicon[s] for s in stems(w) if s in lexicon), default=0.0))
+
+
+def learned(text: str | None, weight: dict[str, float]) -> list[float]:
+    """Values of ``LEARNED``. Negated and reported words weigh nothing. Only clauses with a learned word are run."""
+    every = words(text or "")
+    some = {w for w in set(every) if weight[w]}
+    if not some:
+        return [0.0, 0.0]
+    total = 0.0
+    for part in _END.split(text):
         ws = words(part)
-        n += len(ws)
-        weight = [max((lexicon[s] for s in stems(w) if s in lexicon), default=0.0) for w in ws]
-        if any(weight):
-            marks = SCOPE.run(["I" if x else SYMBOLS.get(w, "X") for w, x in zip(ws, weight, strict=True)])
-            total += sum(x for x, m in zip(weight, marks, strict=True) if m == "I")
-    return [min(MOST, int(math.log2(x)) + 1) if x >= 1 else 0 for x in (total, 100 * total / max(1, n))]
+        if not some.isdisjoint(ws):
+            marks = SCOPE.run(["I" if w in some else SYMBOLS.get(w, "X") for w in ws])
+            total += sum(weight[w] for w, m in zip(ws, marks, strict=True) if m == "I" and w in some)
+    return [total, 100 * total / len(every)]
 
 
 def match(text: str | None) -> list[int]:
-    """Counts of matched clauses by kind, each at most ``MOST``. Only clauses with an insult or threat word are run."""
+    """Counts of matched clauses by kind. Only clauses with an insult or threat word are run."""
     counts = dict.fromkeys(KINDS, 0)
     if text:
         ends, at = None, 0
@@ -194,37 +218,22 @@ def match(text: str | None) -> list[int]:
             kind = MACHINE.run([SYMBOLS.get(w, "X") for w in words(text[begin:ends])] + ["#"])[-1]
             if kind in counts:
                 counts[kind] += 1
-    return [min(MOST, counts[k]) for k in KINDS]
-
+    return [counts[k] for k in KINDS]
 
-#: Columns of counts and levels, named so that they clash with no column of the input.
-FEATURES = tuple(f"_tox_{k}" for k in KINDS + LEARNED)
 
-
-def _features(batches: Iterator[pa.RecordBatch], lexicon: dict[str, float], keep_text: bool) -> Iterator[pa.RecordBatch]:
-    some = "|".join(s[:-1] + r"($|[^\pL\pN_])" if s.endswith("$") else s for s in sorted(lexicon))
-    for b in batches:
-        text = b.column("text")
-        f = np.zeros((b.num_rows, len(FEATURES)), np.int32)
-        for i in np.flatnonzero(pc.fill_null(pc.match_substring_regex(text, TRIGGER), False).to_numpy(zero_copy_only=False)):
-            f[i, : len(KINDS)] = match(text[i].as_py())
-        if lexicon:
-            for i in np.flatnonzero(pc.fill_null(pc.match_substring_regex(text, rf"(?i)(^|[^\pL\pN_])({some})"), False).to_numpy(zero_copy_only=False)):
-                f[i, len(KINDS) :] = learned(text[i].as_py(), lexicon)
-        names = [n for n in b.schema.names if keep_text or n != "text"]
-        yield pa.RecordBatch.from_arrays([b.column(n) for n in names] + [pa.array(f[:, j]) for j in range(len(FEATURES))], names=[*names, *FEATURES])
-
-
-def features(docs: DataFrame, lexicon: dict[str, float], keep_text: bool = False) -> DataFrame:
-    """Clause counts and levels per row beside its other columns; the text goes unless ``keep_text``."""
-    kept = [f for f in docs.schema.fields if keep_text or f.name != "text"]
-    schema = StructType(kept + [StructField(k, IntegerType()) for k in FEATURES])
-    return docs.mapInArrow(partial(_features, lexicon=lexicon, keep_text=keep_text), schema)
+def features(text: pa.Array, weight: Known) -> np.ndarray:
+    """One row of ``FEATURES`` per text."""
+    f = np.zeros((len(text), len(FEATURES)))
+    for i in np.flatnonzero(pc.fill_null(pc.match_substring_regex(text, TRIGGER), False).to_numpy(zero_copy_only=False)):
+        f[i, : len(KINDS)] = match(text[i].as_py())
+    f[:, len(KINDS) :] = [learned(t, weight) for t in text.to_pylist()] if len(text) else 0
+    return f
 
 
 def _stem_counts(batches: Iterator[pa.RecordBatch], wanted: frozenset[str] | None) -> Iterator[pa.RecordBatch]:
     """``stem, once, twice``: rows that hold a word with the stem, and rows that hold two; partial counts."""
     once, twice = Counter(), Counter()
+    known = Known(lambda w: tuple(s for s in stems(w) if wanted is None or s in wanted))
 
     def flush() -> pa.RecordBatch:
         out = pa.RecordBatch.from_arrays([pa.array(list(once), pa.string()), pa.array(list(once.values()), pa.int64()), pa.array([twice[s] for s in once], pa.int64())], names=["stem", "once", "twice"])
@@ -234,11 +243,10 @@ def _stem_counts(batches: Iterator[pa.RecordBatch], wanted: frozenset[str] | Non
 
     for b in batches:
         for t in b.column("text"):
-            here = Counter()
-            for w, n in Counter(words(t.as_py() or "")).items():
-                for s in stems(w):
-                    if wanted is None or s in wanted:
-                        here[s] += n
+            ws = words(t.as_py() or "")
+            here = Counter(s for w in (ws if wanted is None else set(ws)) for s in known[w])
+            if wanted is not None and here:
+                here = Counter(s for w in ws for s in known[w])
             once.update(here.keys())
             twice.update(s for s, n in here.items() if n > 1)
             if len(once) > HELD:
@@ -273,42 +281,47 @@ def choose(rows: list[tuple[str, tuple[int, int], tuple[int, int]]], n: int, m:
     return out
 
 
-def lexicon(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> dict[str, float]:
-    """Stems and weights from all labelled rows outside the held-out fold.
+def taught(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
+    """``h, toxic, text`` of all labelled rows outside the held-out fold, on shared storage. Labels other than 0 and 1 teach nothing."""
+    # Texts are dealt out by key at any size: no switch to a broadcast where few rows are labelled.
+    rows = docs.select("doc_id", "text").where(~fold("doc_id")).join(labels.where("toxic in (0, 1)").select("doc_id", "toxic").hint("merge"), "doc_id")
+    return scratch.save(rows.select(F.xxhash64("doc_id").alias("h"), "toxic", "text"), "toxicity_taught")
+
+
+def learn_lexicon(rows: DataFrame) -> dict[str, float]:
+    """Stems and weights from all of ``taught``.
 
     At most (mean stems of a row) / ``STEM_SHARE`` candidates reach the driver; clean rows are counted for those only.
     """
-    # Texts are dealt out by key at any size: no switch to a broadcast where few rows are labelled.
-    taught = docs.select("doc_id", "text").where(~fold("doc_id")).join(labels.where("toxic in (0, 1)").select("doc_id", "toxic").hint("merge"), "doc_id")
-    taught = scratch.save(taught.select("toxic", "text"), "toxicity_taught")
-    n = {r["toxic"]: r["count"] for r in taught.groupBy("toxic").count().collect()}
-    out = {}
-    if n.get(0) and n.get(1):
-        some = stem_counts(taught.where("toxic = 1")).where(F.col("once") >= max(STEM_ROWS, STEM_SHARE * n[1])).collect()
-        toxic = {r["stem"]: (r["once"], r["twice"]) for r in some}
-        clean = {r["stem"]: (r["once"], r["twice"]) for r in stem_counts(taught.where("toxic = 0"), frozenset(toxic)).collect()}
-        out = choose([(s, c, clean.get(s, (0, 0))) for s, c in toxic.items()], n[1], n[0])
-    scratch.drop("toxicity_taught")
-    return out
+    n = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    if not n.get(0) or not n.get(1):
+        return {}
+    some = stem_counts(rows.where("toxic = 1")).where(F.col("once") >= max(STEM_ROWS, STEM_SHARE * n[1])).collect()
+    toxic = {r["stem"]: (r["once"], r["twice"]) for r in some}
+    clean = {r["stem"]: (r["once"], r["twice"]) for r in stem_counts(rows.where("toxic = 0"), frozenset(toxic)).collect()}
+    return choose([(s, c, clean.get(s, (0, 0))) for s, c in toxic.items()], n[1], n[0])
 
 
-def fit(rows: list[tuple[list[int], int, int]]) -> tuple[float, list[float]]:
-    """Bias and weights of a logistic model from ``(counts, label, how many)``; Newton steps with a Gaussian prior."""
+def fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Bias and weights of a logistic model of labels ``y`` on features ``x``; Newton steps with a Gaussian prior."""
     prior = np.array([PRIOR_BIAS, *PRIOR])
-    if not rows:
-        return float(prior[0]), prior[1:].tolist()
-    x = np.array([[1.0, *np.log2(1.0 + np.array(r[0], float))] for r in rows])
-    y, n = np.array([float(r[1]) for r in rows]), np.array([float(r[2]) for r in rows])
+    if not len(x):
+        return prior
+    x = np.hstack([np.ones((len(x), 1)), np.log2(1 + x)])
     w, ridge = prior.copy(), np.full(len(prior), RIDGE)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (n * (p - y)) + ridge * (w - prior)
-        hess = (x * (n * p * (1 - p))[:, None]).T @ x + np.diag(ridge)
+        grad = x.T @ (p - y) + ridge * (w - prior)
+        hess = (x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge)
         step = np.linalg.solve(hess, grad)
         w -= np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-9:
             break
-    return float(w[0]), w[1:].tolist()
+    return w
+
+
+def probability(f: np.ndarray, model: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(model[0] + np.log2(1 + f) @ model[1:], -700, 700)))
 
 
 def fold(doc_id: str) -> Column:
@@ -316,34 +329,46 @@ def fold(doc_id: str) -> Column:
     return (F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % 5) == 0
 
 
-def train(feats: DataFrame, labels: DataFrame) -> tuple[float, list[float]]:
-    """Bias and weights from all labelled rows outside the held-out fold.
+def _taught_features(batches: Iterator[pa.RecordBatch], lexicon: dict[str, float]) -> Iterator[pa.RecordBatch]:
+    weight = weight_of(lexicon)
+    for b in batches:
+        f = features(b.column("text"), weight)
+        yield pa.RecordBatch.from_arrays([b.column("h"), b.column("toxic"), *(pa.array(f[:, i]) for i in range(len(FEATURES)))], names=["h", "toxic", *FEATURES])
+
 
-    ``labels(doc_id, toxic)``: labels other than 0 and 1 teach nothing. Equal feature rows
-    are counted together before they reach the driver: at most 2 * (MOST + 1) ** 7 rows.
-    """
-    taught = feats.where(~fold("doc_id")).join(labels.where("toxic in (0, 1)").select("doc_id", "toxic"), "doc_id")
-    rows = taught.groupBy(*FEATURES, "toxic").count().collect()
-    return fit([([r[k] for k in FEATURES], r["toxic"], r["count"]) for r in rows])
+def train(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> tuple[dict[str, float], np.ndarray]:
+    """Lexicon and logistic weights."""
+    rows = taught(docs, labels, scratch)
+    lexicon = learn_lexicon(rows)
+    schema = "h long, toxic int, " + ", ".join(f"{k} double" for k in FEATURES)
+    some = rows.select("h", F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(partial(_taught_features, lexicon=lexicon), schema)
+    some = some.orderBy(*(F.col(c) for c in ("h", "toxic", *FEATURES))).limit(FITTED_ROWS).toPandas()
+    scratch.drop("toxicity_taught")
+    return lexicon, fit(some[list(FEATURES)].to_numpy(float), some["toxic"].to_numpy(float))
 
 
-def probability(model: tuple[float, list[float]]) -> Column:
-    z = F.lit(model[0])
-    for k, w in zip(FEATURES, model[1], strict=True):
-        z = z + F.lit(w) * F.log2(1 + F.col(k))
-    return 1 / (1 + F.exp(-z))
+def _scored(batches: Iterator[pa.RecordBatch], lexicon: dict[str, float], model: np.ndarray) -> Iterator[pa.RecordBatch]:
+    weight = weight_of(lexicon)
+    for b in batches:
+        score = probability(features(b.column("text"), weight), model)
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
 
 def score(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
     """``doc_id``, ``held_out``, ``score`` and ``predicted`` for every row of ``docs(doc_id, text)``."""
-    f = scratch.save(features(docs.select("doc_id", "text"), lexicon(docs, labels, scratch)), "toxicity_features")
-    out = f.select("doc_id", fold("doc_id").alias("held_out"), probability(train(f, labels)).alias("score"))
-    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    lexicon, model = train(docs, labels, scratch)
+    rows = docs.select("doc_id", fold("doc_id").alias("held_out"), "text")
+    schema = StructType([*(StructField(f.name, f.dataType) for f in rows.schema.fields[:2]), StructField("score", DoubleType()), StructField("predicted", IntegerType())])
+    return rows.mapInArrow(partial(_scored, lexicon=lexicon, model=model), schema)
+
+
+def _clean(batches: Iterator[pa.RecordBatch], lexicon: dict[str, float], model: np.ndarray) -> Iterator[pa.RecordBatch]:
+    weight = weight_of(lexicon)
+    for b in batches:
+        yield b.filter(pa.array(probability(features(b.column("text"), weight), model) < 0.5))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
     """The rows that are not predicted toxic, with their own columns."""
-    stems_by_weight = lexicon(docs, labels, scratch)
-    f = scratch.save(features(docs.select("doc_id", "text"), stems_by_weight), "toxicity_features")
-    model = train(f, labels)
-    return features(docs, stems_by_weight, keep_text=True).where(probability(model) < 0.5).select(*docs.columns)
+    lexicon, model = train(docs, labels, scratch)
+    return docs.mapInArrow(partial(_clean, lexicon=lexicon, model=model), docs.schema)
