@@ -15,8 +15,9 @@ Every byte goes that a ``LENGTH``-byte string covers which also starts earlier i
 No group of copies meets in one task: a bucket gets an anchor once per block of documents.
 
 Defined cases: null and empty texts lose nothing; texts under ``LENGTH`` bytes lose nothing; of
-repeated rows the first stays; matches never cross documents; bytes are UTF-8 and cuts may
-split characters.
+repeated rows, shared and null ids the first stays, in the order of (id, text); matches never cross documents;
+bytes are UTF-8 and cuts may split characters; very long texts are hashed whole, in one piece each; an
+empty table gives none. Only ``doc_id`` (integers) and ``text`` are read, whatever other columns are called.
 """
 
 from __future__ import annotations
@@ -248,7 +249,8 @@ def _contexts_of(b: pa.RecordBatch, bucket_bits: int) -> Iterator[pa.RecordBatch
     head = np.append(True, (x["g"][1:] != x["g"][:-1]) | (x["c"][1:] != x["c"][:-1]))
     rest = x[~head]
     rest = rest[np.argsort(rest["k"], kind="stable")]
-    out = [(RANGES, k, 0, _ranges(rest["off"][s], rest["off"][s].astype(np.int64) + rest["size"][s])) for k, s in _cut(rest["k"])]
+    # Ranges need no bucket; they are spread over all by their document.
+    out = [(RANGES, k, k & ((1 << bucket_bits) - 1), _ranges(rest["off"][s], rest["off"][s].astype(np.int64) + rest["size"][s])) for k, s in _cut(rest["k"])]
     x, start = x[head], start[head]
     for bucket, s in _cut(_bits(bucket_bits, x["g"])):
         size = x["size"][s].astype(np.int64)
@@ -334,7 +336,15 @@ def repeated_intervals(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.nda
 
 
 def _bucket(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of one bucket: byte ranges to remove, by document."""
+    """Of one bucket: byte ranges to remove, by document. Ranges found before pass through."""
+    told = pdf.loc[pdf["kind"] == RANGES, ["block", "payload"]].set_axis(["_k", "ranges"], axis=1)
+    found = _expanded(pdf[pdf["kind"] == CONTEXTS])
+    return pd.concat([told, found]) if len(found) else told
+
+
+def _expanded(pdf: pd.DataFrame) -> pd.DataFrame:
+    if not len(pdf):
+        return pd.DataFrame([], columns=["_k", "ranges"])
     metas, texts = [], []
     for n, payload in zip(pdf["block"], pdf["payload"], strict=True):
         x = np.frombuffer(payload, CONTEXT, count=n)
@@ -428,12 +438,11 @@ def removed_ranges(base: DataFrame, scratch: Scratch) -> DataFrame:
     offs = again.union(found.where(F.col("kind") != ENTRIES)).groupBy("block").applyInPandas(_by_document, "_k long, offs binary")
     offs = scratch.save(offs, "offsets")
     scratch.drop("anchors")
+    # Contexts are the largest rows of all: they are exchanged, but not written besides.
     contexts = base.select("_k", "text").join(offs, "_k").select("_k", "text", "offs").mapInArrow(partial(_contexts, bucket_bits=bits + FINER), FOUND)
-    contexts = scratch.save(contexts, "contexts")
-    told = contexts.where(F.col("kind") == CONTEXTS).groupBy("bucket").applyInPandas(_bucket, "_k long, ranges binary")
-    told = told.union(contexts.where(F.col("kind") == RANGES).select(F.col("block").alias("_k"), F.col("payload").alias("ranges")))
+    told = contexts.groupBy("bucket").applyInPandas(_bucket, "_k long, ranges binary")
     out = scratch.save(told.groupBy("_k").agg(F.collect_list("ranges").alias("ranges")), "ranges")
-    scratch.drop("contexts", "offsets")
+    scratch.drop("offsets")
     return out
 
 
