@@ -13,8 +13,13 @@ block: a tile holds at most two blocks of ``TILE`` members on average and sends
 spanning forest of the links it finds. So each bucket's links between components are found,
 while no pairs are emitted and the members of a large component never meet each other.
 
+The floor ``LEAST_IDF`` bounds what very common shingles lose: with the share x of two texts' shingles in common, all of
+them in a group that holds so much of the corpus that their idf is at the floor, the similarity is 0.5 x / (0.5 x + 1 - x) where it
+would be x: pairs from 0.8 to 0.89 by plain count are told apart there, as TF-IDF asks; in groups under 1 % of all documents none are.
+
 Defined cases: equal texts (null counts as empty) are one class; texts without words have no other links; texts
-under five words are one shingle; an empty table gives none; repeated rows are copies.
+under five words are one shingle; an empty table gives none; repeated rows are copies, and the first by (id, text,
+other columns) stays; very long texts are hashed whole; columns of any name pass through unchanged.
 """
 
 from __future__ import annotations
@@ -30,12 +35,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm.bytesbuf import U64, buffers, mix, shingles
-from siftwell.llm.common import Scratch, keyed
+from siftwell.llm.common import Scratch, boxed, keyed
 from siftwell.llm.graph import connected_components
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 4
-RARE, LEAST_IDF = 0.01, 0.05
+RARE, LEAST_IDF = 0.01, 0.5
+#: Documents that one task counts at least, on average: few of a block's shingles then are in RARE / 2 of its documents.
+COUNTED_AT_ONCE = 4000
 #: Shingles that are counted together in one block.
 BLOCK_SHINGLES = 2_000_000
 #: Members of a block of a bucket, and rows of tiles that one group of a task holds, on average.
@@ -49,12 +56,12 @@ TABLE_BITS = 20
 
 
 def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shingles in at least half of ``RARE`` of a block's documents."""
-    parts, n, held = [], 0, 0
+    """Shingles in at least half of ``RARE`` of a block's documents. The last, smaller block is counted with the one before."""
+    blocks, parts, n, held = [], [], 0, 0
 
-    def flush() -> pa.RecordBatch:
-        h, c = np.unique(np.concatenate(parts), return_counts=True)
-        some = c >= RARE / 2 * n
+    def flush(block: tuple[list[np.ndarray], int]) -> pa.RecordBatch:
+        h, c = np.unique(np.concatenate(block[0]), return_counts=True)
+        some = c >= RARE / 2 * block[1]
         return pa.RecordBatch.from_arrays([pa.array(h[some].view(np.int64)), pa.array(c[some].astype(np.int64))], names=["h", "c"])
 
     for b in batches:
@@ -62,11 +69,14 @@ def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             _, h, _ = shingles(raw, offsets, SHINGLE)
             parts.append(h)
             n, held = n + len(offsets) - 1, held + len(h)
-            if held > BLOCK_SHINGLES:
-                yield flush()
+            if held > BLOCK_SHINGLES and RARE * n > 2:
+                if blocks:
+                    yield flush(blocks.pop())
+                blocks.append((parts, n))
                 parts, n, held = [], 0, 0
-    if held:
-        yield flush()
+    before, m = blocks.pop() if blocks else ([], 0)
+    if before or parts:
+        yield flush((before + parts, m + n))
 
 
 def _counted(batches: Iterator[pa.RecordBatch], wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -87,7 +97,8 @@ def idf_table(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     none = np.zeros(0, U64), np.zeros(0)
     if not n:
         return none
-    some = text.mapInArrow(_frequent, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= RARE / 2 * n)
+    # No exchange: neighbouring partitions are read by one task.
+    some = text.coalesce(max(1, n // COUNTED_AT_ONCE)).mapInArrow(_frequent, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= RARE / 2 * n)
     wanted = np.sort(np.array([r[0] for r in some.select("h").collect()], np.int64).view(U64))
     if not len(wanted):
         return none
@@ -359,7 +370,8 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, scratch: Scrat
 def keep_first(docs: DataFrame, similarity: float = SIMILARITY, scratch: Scratch | None = None) -> DataFrame:
     """The first row of each class, with its own columns."""
     scratch = scratch or Scratch(docs.sparkSession)
-    base = keyed(docs, scratch)
+    base = keyed(boxed(docs, "doc_id"), scratch)
     # The key stands in for the id, so that both sides agree on it where ids repeat.
-    c = classes(base.select(F.col("_k").alias("doc_id"), "text"), similarity, scratch)
-    return base.join(c.where("_k = component").select("_k").hint("merge"), "_k", "left_semi").select(*docs.columns)
+    c = classes(base.select(F.col("_k").alias("doc_id"), F.col("_row.text").alias("text")), similarity, scratch)
+    out = base.join(c.where("_k = component").select("_k").hint("merge"), "_k", "left_semi")
+    return out.select(*(F.col("_row").getField(x).alias(x) for x in docs.columns))
