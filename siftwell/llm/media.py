@@ -30,8 +30,8 @@ PREDICTOR, TILE_WIDTH, TILE_LENGTH, TILE_OFFSETS, TILE_COUNTS = 317, 322, 323, 3
 TYPES = {1: "B", 2: "B", 3: "H", 4: "I", 16: "Q"}
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 
-#: A payload is whole units of 576 bytes: one row, or one tile of 24 by 24 samples.
-UNIT, TILE = 576, 24
+#: A payload is whole units of 576 bytes: one row of a page in strips, nine of a page in tiles, which have sides of 32 (the format asks for a multiple of 16).
+UNIT, TILED_COLUMNS, TILE = 576, 64, 32
 #: Rows of one page and of one strip at most; so a page is a bounded piece of a long payload.
 PAGE_ROWS, STRIP_ROWS = 72, 24
 #: What a page can be: compression, predictor, tiled. Differences gain nothing under PackBits, which no reader expects there.
@@ -81,19 +81,17 @@ AT_ONCE = 512
 def lzw(raw: bytes) -> bytes:
     """Variable codes of 9 to 12 bits, most significant bit first, widening one code early."""
     out, acc, bits, width = bytearray(), CLEAR, 9, 9
-    codes, new, widen, w = {}, 258, 512, -1
+    codes, new, widen, w = {}, 258, 512, raw[0] if raw else -1
+    known = codes.get
 
     def whole(acc: int, bits: int) -> int:
         out.extend((acc >> (bits & 7)).to_bytes(bits >> 3, "big"))
         return acc & ((1 << (bits & 7)) - 1)
 
-    for c in raw:
-        if w < 0:
-            w = c
-            continue
+    for c in raw[1:]:
         # A known string is (code of all but its last byte, last byte).
         key = w << 8 | c
-        if (n := codes.get(key)) is not None:
+        if (n := known(key)) is not None:
             w = n
             continue
         acc, bits = acc << width | w, bits + width
@@ -104,6 +102,7 @@ def lzw(raw: bytes) -> bytes:
         elif new == 4094:
             acc, bits = acc << width | CLEAR, bits + width
             codes, new, widen, width = {}, 258, 512, 9
+            known = codes.get
         if bits >= AT_ONCE:
             acc, bits = whole(acc, bits), bits & 7
         w = c
@@ -257,7 +256,7 @@ def store(payload: bytes) -> bytes:
     a = np.frombuffer(payload, np.uint8).reshape(-1, UNIT)
     start = zlib.crc32(payload)
     modes = (MODES[(start + k) % len(MODES)] for k in range(0, len(a)))
-    return write_tiff([{"samples": a[i : i + PAGE_ROWS], "compression": how, "predictor": p, "tiled": t} for i, (how, p, t) in zip(range(0, len(a), PAGE_ROWS), modes, strict=False)])
+    return write_tiff([{"samples": a[i : i + PAGE_ROWS].reshape(-1, TILED_COLUMNS if t else UNIT), "compression": how, "predictor": p, "tiled": t} for i, (how, p, t) in zip(range(0, len(a), PAGE_ROWS), modes, strict=False)])
 
 
 def payload_of(text: bytes) -> bytes:
@@ -274,7 +273,7 @@ def _digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             pages = list(read_pages(media))
             back = b"".join(p.tobytes() for p in pages)
             x = np.frombuffer(back, np.uint8)
-            feature = f"pages={len(pages)};rows={sum(len(p) for p in pages)};sum={int(x.sum(dtype=np.int64))};min={x.min()};max={x.max()};padded={len(back) - len(raw)}"
+            feature = f"pages={len(pages)};samples={len(x)};sum={int(x.sum(dtype=np.int64))};min={x.min()};max={x.max()};padded={len(back) - len(raw)}"
             rows.append((doc_id, len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature))
         yield pd.DataFrame(rows, columns=DIGEST_COLUMNS).astype({"doc_id": "Int64"})
 

@@ -114,7 +114,7 @@ def test_digest_against_brute_force(spark, docs, odd_rows):
         raw = (t or "").encode()
         p = raw + b"\xff" * (-len(raw) % 576 or (0 if raw else 576))
         n = -(-len(p) // (576 * media.PAGE_ROWS))
-        want.append((i, len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), f"pages={n};rows={len(p) // 576};sum={sum(p)};min={min(p)};max={max(p)};padded={len(p) - len(raw)}"))
+        want.append((i, len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), f"pages={n};samples={len(p)};sum={sum(p)};min={min(p)};max={max(p)};padded={len(p) - len(raw)}"))
     got = media.digest(docs(rows)).collect()
     assert sorted(((r["doc_id"], r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"], r["feature"]) for r in got), key=repr) == sorted(want, key=repr)
     files = {hashlib.sha256(f := media.store(media.payload_of((t or "").encode()))).hexdigest(): len(f) for _, t, _ in rows}
