@@ -1,4 +1,4 @@
-"""Identifiers that no built-in expression computes: pandas UDFs, Arrow batches."""
+"""Identifiers: built-in expressions, or pandas UDFs over Arrow batches where there are none."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ import math
 import uuid
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType
 
@@ -59,9 +60,13 @@ def content_id(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else f"{murmur3_128(t.encode('utf-8')):02x}")
 
 
-@F.pandas_udf(StringType())
-def name_uuid(name: pd.Series) -> pd.Series:
-    return name.map(lambda t: None if t is None else str(uuid.uuid5(NAMESPACE, t)))
+def name_uuid(name: Column) -> Column:
+    """UUID of version 5: SHA-1 of the namespace and the name, with version and variant set."""
+    h = F.sha1(F.concat(F.unhex(F.lit(NAMESPACE.hex)), F.encode(name, "UTF-8")))
+    part = lambda start, n: F.substring(h, start, n)
+    # The two highest bits of the 17th digit are the variant.
+    variant = F.translate(part(17, 1), "0123456789abcdef", "89ab" * 4)
+    return F.concat(part(1, 8), F.lit("-"), part(9, 4), F.lit("-5"), part(14, 3), F.lit("-"), variant, part(18, 3), F.lit("-"), part(21, 12))
 
 
 @F.pandas_udf(LongType())

@@ -170,3 +170,31 @@ def keyword_recall(query: Column, doc: Column) -> Column:
 
 def common_words(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(F.array_distinct(a), F.array_distinct(b)))
+
+
+#: What coverage statistics leave in a text besides letters and digits.
+COVERAGE_SYMBOLS = "'#!@$%^&*()-=+[]{}|\\:;\"<>,.?/"
+
+
+def coverage_words(c: Column) -> Column:
+    """Lower-case words: Latin or Cyrillic letters, digits and symbols, split where anything else stands."""
+    kept = "".join("\\" + x for x in COVERAGE_SYMBOLS)
+    return F.filter(F.split(F.lower(c), f"[^A-Za-z\u0430-\u044f\u0410-\u042f0-9{kept}]+"), lambda x: x != "")
+
+
+def coverage(queries: Column, content: Column, keywords: Column) -> Column:
+    """``LQ, LD, LQD, LKD, LKED``: mean words of the queries; words of the content; mean share of its words that a query
+    holds; the same summed over keywords, and over keywords with their explanations. Empty contents and no queries give 0.
+    """
+    doc = coverage_words(content)
+    ld, n = F.size(doc).cast("double"), F.size(queries).cast("double")
+    share = lambda t: F.when(ld > 0, common_words(coverage_words(t), doc) / ld).otherwise(0.0)
+    total = lambda items, f: F.aggregate(items, F.lit(0.0), lambda a, x: a + F.coalesce(f(x), F.lit(0.0)))
+    mean = lambda f: F.when(n > 0, total(F.filter(queries, lambda q: q.isNotNull()), f) / n).otherwise(0.0)
+    named = F.filter(keywords, lambda k: k["keyword_or_phrase"].isNotNull())
+    told = F.filter(named, lambda k: k["explanation"].isNotNull())
+    return F.struct(
+        mean(lambda q: F.size(coverage_words(q)).cast("double")).alias("LQ"), ld.alias("LD"), mean(share).alias("LQD"),
+        total(named, lambda k: share(k["keyword_or_phrase"])).alias("LKD"),
+        total(told, lambda k: share(F.concat(k["keyword_or_phrase"], F.lit("\n"), k["explanation"]))).alias("LKED"),
+    )

@@ -126,3 +126,25 @@ def first_label(title: Column, labels: Column) -> Column:
     """The title, else the first label that isn't blank, else ``unknown``."""
     blank = lambda c: F.when(F.trim(c) != "", c)
     return F.coalesce(blank(title), F.get(F.filter(labels, lambda x: x.isNotNull() & (F.trim(x) != "")), F.lit(0)), F.lit("unknown"))
+
+
+def flat_list(c: Column, kind: DataType) -> Column:
+    """The innermost elements of nested arrays, in order; as many levels go as the type has."""
+    while isinstance(kind, ArrayType) and isinstance(kind.elementType, ArrayType):
+        c, kind = F.flatten(c), kind.elementType
+    return c
+
+
+def ids_as_text(c: Column, kind: DataType, name: str = "") -> Column:
+    """Fields whose names end with ``id`` and items of lists as text, at any depth of structs."""
+    if isinstance(kind, StructType):
+        return F.struct(*(ids_as_text(c[f.name], f.dataType, f.name).alias(f.name) for f in kind.fields))
+    if isinstance(kind, ArrayType):
+        return c.cast("array<string>") if not isinstance(kind.elementType, (StructType, ArrayType)) else F.transform(c, lambda x: F.to_json(x))
+    return c.cast("string") if name.endswith("id") else c
+
+
+def request_documents(df: DataFrame) -> DataFrame:
+    """``content, meta, keywords_or_phrases`` of documents in a request; what is missing or null is empty."""
+    empty = {"meta": F.create_map().cast("map<string,string>"), "keywords_or_phrases": F.array().cast(KEYWORDS)}
+    return df.select("content", *((F.coalesce(F.col(c), e.cast(df.schema[c].dataType) if c != "meta" else e) if c in df.columns else e).alias(c) for c, e in empty.items()))

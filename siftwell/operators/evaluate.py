@@ -37,6 +37,18 @@ def judged(ranked: DataFrame, docs: DataFrame) -> DataFrame:
     return ranked.join(docs.select("doc_id", "labels"), "doc_id").withColumn("relevant", F.coalesce(F.array_contains("labels", F.col("query")), F.lit(False)))
 
 
+def scored_results(ranked: DataFrame) -> DataFrame:
+    """Results ``(query_id, query, rank, score, labels)`` with ``relevant`` and ``score`` for all.
+
+    A label that is plain text is a list of one. Where a score is missing it is the number of the query's results less
+    those before it, so that the order stays.
+    """
+    labels = F.array("labels") if dict(ranked.dtypes)["labels"] == "string" else F.col("labels")
+    n = F.count(F.lit(1)).over(Window.partitionBy("query_id"))
+    default = (n - F.col("rank") + 1).cast("double")
+    return ranked.withColumn("relevant", F.coalesce(F.array_contains(labels, F.col("query")), F.lit(False))).withColumn("score", F.coalesce(F.col("score").cast("double"), default))
+
+
 def per_query(ranked: DataFrame, cutoffs=CUTOFFS) -> DataFrame:
     """Long rows ``query_id, name, k, value``."""
     by = Window.partitionBy("query_id").orderBy("rank")

@@ -56,10 +56,15 @@ def verified_negatives(qrels: DataFrame, pairs: DataFrame) -> DataFrame:
     return qrels.withColumn("nth", nth).join(ok, "qid", "left").withColumn("neg", F.when(F.col("nth") == 1, F.col("neg"))).drop("nth")
 
 
+def seeded(seed: int, *keys: str) -> Column:
+    """A repeatable random order of keys: the digest of the seed and the keys, the same in any engine."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.col(k).cast("string") for k in keys)))
+
+
 def selection(qrels: DataFrame, train: int, dev: int, seed: int = 42, least: int = 0) -> dict[str, DataFrame]:
     """Seeded train and dev queries without overlap, by hash order with seeds ``seed`` and ``seed + 1``."""
     q = qrels.where("relevance > 0").select("qid").distinct()
-    pick = lambda df, n, s: df.orderBy(F.xxhash64(F.lit(s), "qid"), "qid").limit(n)
+    pick = lambda df, n, s: df.orderBy(seeded(s, "qid"), "qid").limit(n)
     a = pick(q, train, seed)
     b = pick(q.join(a, "qid", "left_anti"), dev, seed + 1)
     if least and a.count() < least:
@@ -67,6 +72,20 @@ def selection(qrels: DataFrame, train: int, dev: int, seed: int = 42, least: int
     return {"train": a, "dev": b}
 
 
+def corpus_selection(docs: DataFrame, needed: DataFrame, size: int, seed: int = 44) -> DataFrame:
+    """``pid, needed``: all needed documents that exist, once each, filled up to ``size`` with others in seeded order."""
+    ids = docs.select("pid").distinct()
+    have = ids.join(needed.select("pid").distinct(), "pid", "left_semi")
+    rest = ids.join(needed.select("pid"), "pid", "left_anti").orderBy(seeded(seed, "pid"), "pid").limit(max(0, size - have.count()))
+    return have.withColumn("needed", F.lit(True)).unionByName(rest.withColumn("needed", F.lit(False)))
+
+
+def selected_titles(df: DataFrame, title: str, titles: list[str] | None, max_rows: int | None, order: str) -> DataFrame:
+    """Rows whose title is among those selected (None: all), at most so many, in order."""
+    out = df if titles is None else df.where(F.col(title).isin(list(titles)))
+    return out if max_rows is None else out.orderBy(order).limit(max(0, max_rows))
+
+
 def keyword_coverage(df: DataFrame, keywords: str, content: str) -> DataFrame:
     """How many keywords there are and how many the content doesn't hold."""
     k = df.select(F.explode(keywords).alias("k"), F.col(content).alias("c"))

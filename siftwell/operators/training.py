@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from siftwell.operators.relational import seeded
+
 
 def missing(df: DataFrame, name: str) -> Column:
     """Null, or NaN in a floating column."""
@@ -25,7 +30,12 @@ def reservoir(df: DataFrame, n: int, key: str, seed: int = 17) -> DataFrame:
     """``n`` rows by seeded hash order: -1 all, other values below 1 none. Repeatable at any partitioning."""
     if n == -1:
         return df
-    return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(max(0, n))
+    return df.orderBy(seeded(seed, key), key).limit(max(0, n))
+
+
+def repeated_samples(df: DataFrame, n: int, times: int, key: str, seed: int = 17) -> DataFrame:
+    """``times`` samples of ``n`` rows each, one below the other; ``sample`` counts them from 0."""
+    return reduce(DataFrame.unionByName, [reservoir(df, n, key, seed + t).withColumn("sample", F.lit(t)) for t in range(times)])
 
 
 def rebalanced(df: DataFrame, content: str, order: str) -> DataFrame:
@@ -42,8 +52,7 @@ def duplicate_batches(df: DataFrame, position: str, content: str, batch_size: in
 
 def derangement(df: DataFrame, batch: str, key: str, seed: int = 17) -> DataFrame:
     """Partner of each row within its batch: the next in seeded order, the last one's is the first. Nobody is its own but in a batch of one."""
-    h = F.xxhash64(F.lit(seed), F.col(key))
-    w = Window.partitionBy(batch).orderBy(h, key)
+    w = Window.partitionBy(batch).orderBy(seeded(seed, key), key)
     return df.withColumn("partner", F.coalesce(F.lead(key).over(w), F.first(key).over(w)))
 
 
@@ -61,7 +70,7 @@ def safe_negatives(df: DataFrame, seed: int = 17) -> DataFrame:
     for k in KEYS:
         clash = clash | (F.col(k) == F.col("o_" + k))
     tier = F.when(F.col("i") == F.col("j"), 2).when(clash, 1).otherwise(0)
-    pairs = left.join(right, "batch").withColumn("tier", tier).withColumn("h", F.xxhash64(F.lit(seed), "i", "j"))
+    pairs = left.join(right, "batch").withColumn("tier", tier).withColumn("h", seeded(seed, "i", "j"))
     return pairs.groupBy("batch", "i").agg(F.min(F.struct("tier", "h", "j")).alias("m")).select("batch", "i", F.col("m.j").alias("negative"), (F.col("m.tier") > 0).alias("fallback"))
 
 
@@ -72,6 +81,46 @@ def scored_negatives(scores: DataFrame, mode: str = "hard", low: float = 0.0, hi
     return scores.where(ok).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def idf_negatives(
+    df: DataFrame, score: Callable[[Column, Column], Column], mode: str = "safe-random", low: float | None = None, high: float | None = None, k: int | None = None, seed: int = 17
+) -> DataFrame:
+    """A negative per row of ``(batch, i, doc_key, content_key, query_key, query, doc)``, chosen by ``score(query, doc)``.
+
+    Candidates share no key; else they share the query only; else they are any other row (``fallback``), else the row
+    itself. Those scored above ``high`` are too near and left out, unless none would remain. ``safe-random`` takes any of
+    the rest, ``semi-hard-idf`` and ``hard-idf`` one of the ``k`` best, and of those that reach ``low`` if there are any.
+    """
+    if mode not in ("safe-random", "semi-hard-idf", "hard-idf"):
+        raise ValueError(f"unknown mode {mode!r}")
+    other = df.select("batch", F.col("i").alias("j"), *(F.col(c).alias("o_" + c) for c in KEYS), F.col("doc").alias("o_doc"))
+    same = {c: F.coalesce(F.col(c) == F.col("o_" + c), F.lit(False)) for c in KEYS}
+    tier = F.when(same["doc_key"] | same["content_key"], 2).when(same["query_key"], 1).otherwise(0)
+    w = Window.partitionBy("batch", "i")
+    pairs = df.join(other, "batch").where("i <> j").withColumn("tier", tier).withColumn("least", F.min("tier").over(w)).where("tier = least")
+    p = pairs.select("batch", "i", "j", "tier", score(F.col("query"), F.col("o_doc")).alias("s"))
+    p = p.withColumn("safe", F.lit(True) if high is None else F.col("s") <= high)
+    p = p.withColumn("good", F.col("safe") & (F.lit(True) if low is None or mode == "safe-random" else F.col("s") >= low))
+    p = p.withColumn("any_safe", F.max("safe").over(w)).withColumn("any_good", F.max("good").over(w))
+    p = p.where(F.when(F.col("any_good"), F.col("good")).when(F.col("any_safe"), F.col("safe")).otherwise(True))
+    if k is not None and mode != "safe-random":
+        p = p.withColumn("nth", F.row_number().over(w.orderBy(F.col("s").desc(), "j"))).where(~F.col("any_safe") | (F.col("nth") <= k))
+    best = p.groupBy("batch", "i").agg(F.min(F.struct(seeded(seed, "batch", "i", "j").alias("h"), "j", "tier")).alias("m"))
+    out = df.select("batch", "i").join(best, ["batch", "i"], "left")
+    return out.select("batch", "i", F.coalesce("m.j", "i").alias("negative"), F.coalesce(F.col("m.tier") == 2, F.lit(True)).alias("fallback"))
+
+
+def bank_identities(rows: DataFrame, bank: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """``batch, i, slot, match`` for the rows of a batch and its bank: a slot matches that has any of the row's keys.
+
+    Keys that the bank lacks don't count; with a key that only the rows lack nothing is known to differ, so all match.
+    """
+    used = [c for c in keys if c in bank.columns]
+    pairs = rows.join(bank.select("batch", "slot", *(F.col(c).alias("b_" + c) for c in used)), "batch")
+    known = all(c in rows.columns for c in used)
+    match = reduce(lambda a, b: a | b, (F.coalesce(F.col(c) == F.col("b_" + c), F.lit(False)) for c in used), F.lit(False)) if known else F.lit(True)
+    return pairs.select("batch", "i", "slot", match.alias("match"))
+
+
 def logsumexp(c: Column, top: Column) -> Column:
     return F.log(F.sum(F.exp(c - top))) + F.max(top)
 

@@ -166,22 +166,60 @@ def o04_sorted_head(spark, d):
     return table(spark, d, "documents").select("doc_id", "n_chars").orderBy(F.desc("n_chars"), "doc_id").limit(50)
 
 
-@query()
+@query("SELECT doc_id FROM documents ORDER BY md5('17:' || doc_id), doc_id LIMIT 100")
 def o05_reservoir(spark, d):
     return training.reservoir(table(spark, d, "documents").select("doc_id"), 100, "doc_id")
 
 
-@query()
+@query("""WITH q AS (SELECT DISTINCT o_custkey AS qid FROM orders), a AS (SELECT qid FROM q ORDER BY md5('42:' || qid), qid LIMIT 50), b AS (SELECT qid FROM q WHERE qid NOT IN (SELECT qid FROM a) ORDER BY md5('43:' || qid), qid LIMIT 20)
+SELECT qid, 'train' AS split FROM a UNION ALL SELECT qid, 'dev' AS split FROM b""")
 def o11_seeded_selection(spark, d):
     q = table(spark, d, "orders").select(F.col("o_custkey").alias("qid"), F.lit(1).alias("relevance"))
     s = relational.selection(q, 50, 20)
     return s["train"].withColumn("split", F.lit("train")).union(s["dev"].withColumn("split", F.lit("dev")))
 
 
-@query("SELECT doc_id // 16 AS batch, count(*) AS n, count(*) AS partners, CASE WHEN count(*) > 1 THEN 0 ELSE 1 END AS own FROM documents GROUP BY 1")
+@query("""WITH n AS (SELECT doc_id AS pid FROM labels WHERE quality = 1 AND doc_id IN (SELECT doc_id FROM documents)),
+r AS (SELECT doc_id AS pid FROM documents WHERE doc_id NOT IN (SELECT pid FROM n) ORDER BY md5('44:' || doc_id), doc_id LIMIT (SELECT greatest(0, 500 - count(*)) FROM n))
+SELECT pid, true AS needed FROM n UNION ALL SELECT pid, false AS needed FROM r""")
+def o11_corpus_selection(spark, d):
+    docs, good = table(spark, d, "documents").select(F.col("doc_id").alias("pid")), table(spark, d, "labels").where("quality = 1").select(F.col("doc_id").alias("pid"))
+    return relational.corpus_selection(docs, good, 500)
+
+
+@query("SELECT * FROM (SELECT doc_id, 0 AS sample FROM documents ORDER BY md5('17:' || doc_id), doc_id LIMIT 40) UNION ALL SELECT * FROM (SELECT doc_id, 1 AS sample FROM documents ORDER BY md5('18:' || doc_id), doc_id LIMIT 40)")
+def o10_repeated_samples(spark, d):
+    return training.repeated_samples(table(spark, d, "documents").select("doc_id"), 40, 2, "doc_id")
+
+
+@query("""SELECT doc_id // 16 AS batch, doc_id, coalesce(lead(doc_id) OVER w, first(doc_id) OVER w) AS partner FROM documents WINDOW w AS (PARTITION BY doc_id // 16 ORDER BY md5('17:' || doc_id), doc_id)""")
 def o12_derangement(spark, d):
-    t = training.derangement(table(spark, d, "documents").select(F.floor(F.col("doc_id") / 16).alias("batch"), "doc_id"), "batch", "doc_id")
-    return t.groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("partner").alias("partners"), F.sum((F.col("partner") == F.col("doc_id")).cast("int")).cast("int").alias("own"))
+    return training.derangement(table(spark, d, "documents").select(F.floor(F.col("doc_id") / 16).alias("batch"), "doc_id"), "batch", "doc_id").select("batch", "doc_id", "partner")
+
+
+@query("SELECT doc_id, source FROM documents WHERE source IN (SELECT DISTINCT source FROM documents ORDER BY source LIMIT 2) ORDER BY doc_id LIMIT 100")
+def f20_selected_titles(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "source")
+    titles = [r[0] for r in docs.where("source is not null").select("source").distinct().orderBy("source").limit(2).collect()]
+    return relational.selected_titles(docs, "source", titles, 100, "doc_id")
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n, grouping_id(l_returnflag, l_linestatus)::BIGINT AS level FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
+def a17_grouping_sets(spark, d):
+    return table(spark, d, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("level"))
+
+
+@query("SELECT event_id, user_id, lag(event_id) OVER w AS before, lead(event_id) OVER w AS after, (ntile(4) OVER w)::INT AS quarter FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
+def w10_neighbouring_rows(spark, d):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return table(spark, d, "events").select("event_id", "user_id", F.lag("event_id").over(w).alias("before"), F.lead("event_id").over(w).alias("after"), F.ntile(4).over(w).alias("quarter"))
+
+
+@query("(SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels WHERE quality = 1) EXCEPT SELECT doc_id FROM labels WHERE toxic = 1")
+def u06_set_operations(spark, d):
+    lab = table(spark, d, "labels")
+    good, bad = lab.where("quality = 1").select("doc_id"), lab.where("toxic = 1").select("doc_id")
+    return table(spark, d, "documents").select("doc_id").intersect(good).subtract(bad)
 
 
 @query("SELECT doc_id AS id FROM documents UNION ALL SELECT item_id AS id FROM benchmark")
@@ -208,13 +246,74 @@ def t01_training_rows(spark, d):
 
 
 def _keyed_batches(spark, d):
-    return table(spark, d, "documents").select(F.floor(F.col("doc_id") / 16).alias("batch"), (F.col("doc_id") % 16).alias("i"), F.col("doc_id").alias("doc_key"), F.crc32("text").alias("content_key"), F.crc32("source").alias("query_key"))
+    return table(spark, d, "documents").select(F.floor(F.col("doc_id") / 16).alias("batch"), (F.col("doc_id") % 16).alias("i"), F.col("doc_id").alias("doc_key"), F.md5("text").alias("content_key"), F.col("source").alias("query_key"))
 
 
-@query("""WITH k AS (SELECT doc_id // 16 AS batch, doc_id % 16 AS i, text, source FROM documents)
-SELECT a.batch, a.i, coalesce(bool_and(b.i IS NULL OR a.text = b.text OR a.source = b.source), true) AS fallback FROM k a LEFT JOIN k b ON a.batch = b.batch AND a.i <> b.i GROUP BY ALL""")
+@query("""WITH k AS (SELECT doc_id // 16 AS batch, doc_id % 16 AS i, text, source FROM documents),
+p AS (SELECT a.batch, a.i, b.i AS j, CASE WHEN a.i = b.i THEN 2 WHEN a.text = b.text OR a.source = b.source THEN 1 ELSE 0 END AS tier FROM k a JOIN k b ON a.batch = b.batch)
+SELECT batch, i, j AS negative, tier > 0 AS fallback FROM p QUALIFY row_number() OVER (PARTITION BY batch, i ORDER BY tier, md5('17:' || i || ':' || j), j) = 1""")
 def t03_safe_negatives(spark, d):
-    return training.safe_negatives(_keyed_batches(spark, d)).select("batch", "i", "fallback")
+    return training.safe_negatives(_keyed_batches(spark, d))
+
+
+_TURNS = f"""q AS (SELECT conv_id // 8 AS batch, conv_id % 8 AS i, a.text AS query, b.text AS doc FROM conversations a JOIN conversations b USING (conv_id) WHERE a.turn = 0 AND b.turn = 1)"""
+
+
+def _turns(spark, d):
+    """First questions and answers of conversations, in batches of eight."""
+    c = table(spark, d, "conversations")
+    q, a = c.where("turn = 0").select("conv_id", F.col("text").alias("query")), c.where("turn = 1").select("conv_id", F.col("text").alias("doc"))
+    return q.join(a, "conv_id").select(
+        F.floor(F.col("conv_id") / 8).alias("batch"), (F.col("conv_id") % 8).alias("i"), F.col("conv_id").alias("doc_key"), F.md5("doc").alias("content_key"), F.md5("query").alias("query_key"), "query", "doc"
+    )
+
+
+def _negatives_sql(top: int | None) -> str:
+    rank = f"WHERE NOT any_safe OR nth <= {top}" if top else ""
+    good = "safe AND s >= 0.2" if top else "safe"
+    return f"""WITH {_TURNS},
+p AS (SELECT a.batch, a.i, b.i AS j, CASE WHEN a.doc = b.doc THEN 2 WHEN a.query = b.query THEN 1 ELSE 0 END AS tier, {_TOKENS.format('a.query')} AS q, {_TOKENS.format('b.doc')} AS d FROM q a JOIN q b ON a.batch = b.batch AND a.i <> b.i),
+l AS (SELECT * FROM p QUALIFY tier = min(tier) OVER (PARTITION BY batch, i)),
+w AS (SELECT *, list_transform(q, lambda x: 1 / ln(1 + greatest(1, len(list_filter(d, lambda y: y = x))))) AS w FROM l),
+s AS (SELECT batch, i, j, tier, round(coalesce(list_sum([CASE WHEN list_contains(d, q[n]) THEN w[n] ELSE 0 END FOR n IN range(1, len(q) + 1)]), 0) / CASE WHEN len(q) = 0 THEN 1 ELSE list_sum(w) END, 9) AS s FROM w),
+f AS (SELECT *, s <= 0.6 AS safe FROM s), g AS (SELECT *, {good} AS good FROM f),
+h AS (SELECT *, bool_or(safe) OVER x AS any_safe, bool_or(good) OVER x AS any_good FROM g WINDOW x AS (PARTITION BY batch, i)),
+k AS (SELECT *, row_number() OVER (PARTITION BY batch, i ORDER BY s DESC, j) AS nth FROM h WHERE CASE WHEN any_good THEN good WHEN any_safe THEN safe ELSE true END),
+m AS (SELECT * FROM (SELECT * FROM k {rank}) QUALIFY row_number() OVER (PARTITION BY batch, i ORDER BY md5('17:' || batch || ':' || i || ':' || j), j) = 1)
+SELECT q.batch, q.i, coalesce(m.j, q.i) AS negative, coalesce(tier = 2, true) AS fallback FROM q LEFT JOIN m ON q.batch = m.batch AND q.i = m.i"""
+
+
+def _recall(q, x):
+    return F.round(text.inverse_idf_recall(text.tokens(q), text.tokens(x)), 9)
+
+
+@query(_negatives_sql(None))
+def t04_safe_random_negatives(spark, d):
+    return training.idf_negatives(_turns(spark, d), _recall, "safe-random", high=0.6)
+
+
+@query(_negatives_sql(2))
+def t04_hard_idf_negatives(spark, d):
+    return training.idf_negatives(_turns(spark, d), _recall, "hard-idf", 0.2, 0.6, 2)
+
+
+@query(f"WITH {_TURNS} SELECT a.batch, a.i, b.i AS slot, a.doc = b.doc OR a.query = b.query AS match FROM q a JOIN q b ON a.batch = b.batch + 1")
+def j09_bank_identities(spark, d):
+    """Each batch against a bank that holds the batch before it."""
+    t = _turns(spark, d)
+    bank = t.select((F.col("batch") + 1).alias("batch"), F.col("i").alias("slot"), *training.KEYS)
+    return training.bank_identities(t, bank)
+
+
+@query("""WITH r AS (SELECT user_id AS query_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rank, CASE WHEN event_id % 2 = 0 THEN value END AS score, event_type = 'error' AS relevant FROM events)
+SELECT query_id, rank::INT AS rank, coalesce(score, count(*) OVER (PARTITION BY query_id) - rank + 1)::DOUBLE AS score, relevant FROM r""")
+def m11_default_scores(spark, d):
+    """Events of each user as results: those with odd ids lack a score."""
+    rank = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    r = table(spark, d, "events").select(
+        F.col("user_id").alias("query_id"), F.lit("error").alias("query"), rank.alias("rank"), F.when(F.col("event_id") % 2 == 0, F.col("value")).alias("score"), F.col("event_type").alias("labels")
+    )
+    return evaluate.scored_results(r).select("query_id", "rank", "score", "relevant")
 
 
 @query("WITH k AS (SELECT l_orderkey AS batch, l_linenumber AS i, l_quantity::DOUBLE AS s FROM lineitem), p AS (SELECT a.batch, a.i, b.i AS j, a.s * b.s / 2500 AS s FROM k a JOIN k b ON a.batch = b.batch) SELECT batch, i, j FROM p WHERE i <> j AND s BETWEEN 0.1 AND 0.5 QUALIFY row_number() OVER (PARTITION BY batch, i ORDER BY s DESC, j) <= 2")

@@ -80,7 +80,8 @@ def x21_camel_case(spark, d):
     return table(spark, d, "documents").select("doc_id", text.camel_case(F.concat("source", F.lit("-x_y z"))).alias("name"))
 
 
-@query()
+@query("""WITH h AS (SELECT doc_id, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode(source)) AS h FROM documents)
+SELECT doc_id, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || translate(h[17:17], '0123456789abcdef', '89ab89ab89ab89ab') || h[18:20] || '-' || h[21:32] AS uuid FROM h""")
 def x20_name_uuid(spark, d):
     return table(spark, d, "documents").select("doc_id", ids.name_uuid(F.col("source")).alias("uuid"))
 
@@ -271,3 +272,40 @@ def f18_pair_lengths(spark, d):
 @query("SELECT doc_id FROM documents WHERE list_has_any([lang, source], ['de', 'src7'])")
 def f19_any_keyword(spark, d):
     return table(spark, d, "documents").where(F.arrays_overlap(F.array("lang", "source"), F.array(F.lit("de"), F.lit("src7")))).select("doc_id")
+
+
+_COVERED = "list_filter(string_split_regex(lower({0}), '[^A-Za-z\u0430-\u044f\u0410-\u042f0-9" + "".join("\\" + x for x in text.COVERAGE_SYMBOLS).replace("'", "''").replace("{", "{{").replace("}", "}}") + "]+'), lambda x: x <> '')"
+_SHARE = f"(CASE WHEN ld > 0 THEN len(list_intersect(list_distinct({_COVERED}), dd)) / ld ELSE 0 END)"
+
+
+@query(f"""WITH d AS (SELECT doc_id, lang, source, len({_COVERED.format('text')})::DOUBLE AS ld, list_distinct({_COVERED.format('text')}) AS dd FROM documents)
+SELECT doc_id, (len({_COVERED.format('lang')}) + len({_COVERED.format("source || ' en'")})) / 2 AS "LQ", ld AS "LD", round(({_SHARE.format('lang')} + {_SHARE.format("source || ' en'")}) / 2, 9) AS "LQD",
+ round({_SHARE.format("source || ' the'")}, 9) AS "LKD", round({_SHARE.format("source || ' the' || chr(10) || lang || ' and'")}, 9) AS "LKED" FROM d""")
+def x22_coverage(spark, d):
+    t = table(spark, d, "documents")
+    keywords = F.array(F.struct(F.concat("source", F.lit(" the")).alias("keyword_or_phrase"), F.concat("lang", F.lit(" and")).alias("explanation")))
+    c = text.coverage(F.array("lang", F.concat("source", F.lit(" en"))), F.col("text"), keywords)
+    return t.select("doc_id", c.alias("c")).select("doc_id", "c.LQ", "c.LD", *(F.round(f"c.{x}", 9).alias(x) for x in ("LQD", "LKD", "LKED")))
+
+
+@query("SELECT doc_id, array_to_string([lang, source, lang, 'x'], ' ') AS flat, 4 AS n FROM documents")
+def p13_flat_list(spark, d):
+    t = table(spark, d, "documents").select("doc_id", F.array(F.array(F.array("lang", "source"), F.array("lang")), F.array(F.array(F.lit("x")))).alias("nested"))
+    return t.withColumn("flat", adapt.flat_list(F.col("nested"), t.schema["nested"].dataType)).select("doc_id", F.concat_ws(" ", "flat").alias("flat"), F.size("flat").alias("n"))
+
+
+@query("SELECT doc_id::VARCHAR AS doc_id, n_chars, doc_id::VARCHAR AS inner_id, (n_chars + 1)::VARCHAR AS item FROM documents")
+def p16_ids_as_text(spark, d):
+    t = table(spark, d, "documents").select(F.struct("doc_id", "n_chars", F.struct(F.col("doc_id").alias("chunk_id"), F.array(F.col("n_chars") + 1).alias("items")).alias("meta")).alias("r"))
+    return t.select(adapt.ids_as_text(F.col("r"), t.schema["r"].dataType).alias("r")).select("r.doc_id", "r.n_chars", F.col("r.meta.chunk_id").alias("inner_id"), F.col("r.meta.items")[0].alias("item"))
+
+
+@query("SELECT doc_id FROM documents WHERE NOT (lang = 'de' AND n_chars > 200) AND (source IN ('web', 'code') OR lang IS NOT NULL)")
+def f16_emitted_sql(spark, d):
+    """A filter written out as SQL and read by the engine's own parser."""
+    leaf = lambda f, o, v: {"field": f, "operator": o, "value": v}
+    f = {"operator": "AND", "conditions": [
+        {"operator": "NOT", "conditions": [leaf("lang", "==", "de"), leaf("n_chars", ">", 200)]},
+        {"operator": "OR", "conditions": [leaf("source", "in", ["web", "code"]), leaf("lang", "!=", None)]},
+    ]}
+    return table(spark, d, "documents").where(filters.to_sql(f)).select("doc_id")

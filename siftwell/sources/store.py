@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.operators.filters import apply_filter
 from siftwell.operators.relational import first_per
+from siftwell.sources import files
 
 POLICIES = ("NONE", "SKIP", "OVERWRITE", "FAIL")
 
@@ -18,28 +17,31 @@ class DuplicateError(ValueError):
 
 
 class Collection:
-    """Each write makes a new version beside the old and then moves the pointer, so readers see whole versions only."""
+    """Versions of a table in one folder: the last one that was written to its end counts, so readers see whole versions only."""
 
     def __init__(self, spark: SparkSession, root: str, name: str):
         self.spark, self.name = spark, name[:1].upper() + name[1:].lower()
-        self.path = Path(root) / self.name
-        self.path.mkdir(parents=True, exist_ok=True)
+        self.path = f"{str(root).rstrip('/')}/{self.name}"
+
+    def _folder(self, version: int) -> str:
+        return f"{self.path}/v{version:06d}"
 
     def _version(self) -> int:
-        p = self.path / "CURRENT"
-        return int(p.read_text()) if p.exists() else 0
+        """The highest version whose write was committed, 0 if there is none."""
+        for v in sorted((int(n[1:]) for n in files.names(self.spark, self.path) if n[:1] == "v" and n[1:].isdigit()), reverse=True):
+            if files.exists(self.spark, f"{self._folder(v)}/_SUCCESS"):
+                return v
+        return 0
 
     def _publish(self, df: DataFrame) -> None:
-        v = self._version() + 1
-        df.write.mode("overwrite").parquet(str(self.path / f"v{v:06d}"))
-        (self.path / "CURRENT").write_text(str(v))
+        df.write.mode("overwrite").parquet(self._folder(self._version() + 1))
 
     def scan(self, filters: dict | None = None, vectors: bool = False) -> DataFrame | None:
         """All documents that fit the filter; the vectors are read only when asked for."""
         v = self._version()
         if not v:
             return None
-        df = self.spark.read.parquet(str(self.path / f"v{v:06d}"))
+        df = self.spark.read.parquet(self._folder(v))
         df = apply_filter(df, filters)
         return df if vectors else df.drop("embedding")
 
