@@ -23,6 +23,7 @@ import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -154,8 +155,12 @@ _END = re.compile(r"[.!?;\n]+(?=\s|$)|\n")
 _WORD = re.compile(r"\w+(?:'\w+)?")
 
 
+def lower(text: str) -> str:
+    return text.replace("’", "'").lower()
+
+
 def words(text: str) -> list[str]:
-    return _WORD.findall(text.replace("’", "'").lower())
+    return _WORD.findall(lower(text))
 
 
 def stems(word: str) -> list[str]:
@@ -177,12 +182,19 @@ class Known(dict):
         return found
 
 
-def weight_of(lexicon: dict[str, float]) -> Known:
-    """A word's weight: the greatest of its stems' weights, 0 where none is known."""
-    return Known(lambda w: max((lexicon[s] for s in stems(w) if s in lexicon), default=0.0))
+#: Characters that are inside of words for sure; a stem after any other one may begin a word.
+_INSIDE = "a-z0-9_ß-öø-ÿ"
+
+
+class Weights(Known):
+    """A word's weight: the greatest of its stems' weights, 0 where none is known. ``begins`` matches all lower-case texts with such words, and some more."""
 
+    def __init__(self, lexicon: dict[str, float]):
+        super().__init__(lambda w: max((lexicon[s] for s in stems(w) if s in lexicon), default=0.0))
+        self.begins = f"(?:^|[^{_INSIDE}])(?:" + "|".join(sorted({s.rstrip("$") for s in lexicon})) + ")" if lexicon else None
 
-def learned(text: str | None, weight: dict[str, float]) -> list[float]:
+
+def learned(text: str | None, weight: Weights) -> list[float]:
     """Values of ``LEARNED``. Negated and reported words weigh nothing. Only clauses with a learned word are run."""
     every = words(text or "")
     some = {w for w in set(every) if weight[w]}
@@ -221,12 +233,19 @@ def match(text: str | None) -> list[int]:
     return [counts[k] for k in KINDS]
 
 
-def features(text: pa.Array, weight: Known) -> np.ndarray:
-    """One row of ``FEATURES`` per text."""
+def _holding(text: pa.Array, pattern: str) -> np.ndarray:
+    """Places of the texts that match."""
+    return np.flatnonzero(pc.fill_null(pc.match_substring_regex(text, pattern), False).to_numpy(zero_copy_only=False))
+
+
+def features(text: pa.Array, weight: Weights) -> np.ndarray:
+    """One row of ``FEATURES`` per text. Words are cut only where a pattern says that a listed word or a learned stem may stand."""
     f = np.zeros((len(text), len(FEATURES)))
-    for i in np.flatnonzero(pc.fill_null(pc.match_substring_regex(text, TRIGGER), False).to_numpy(zero_copy_only=False)):
+    for i in _holding(text, TRIGGER):
         f[i, : len(KINDS)] = match(text[i].as_py())
-    f[:, len(KINDS) :] = [learned(t, weight) for t in text.to_pylist()] if len(text) else 0
+    if weight.begins:
+        for i in _holding(pa.array([lower(t or "") for t in text.to_pylist()], pa.large_string()), weight.begins):
+            f[i, len(KINDS) :] = learned(text[i].as_py(), weight)
     return f
 
 
@@ -244,11 +263,9 @@ def _stem_counts(batches: Iterator[pa.RecordBatch], wanted: frozenset[str] | Non
     for b in batches:
         for t in b.column("text"):
             ws = words(t.as_py() or "")
-            here = Counter(s for w in (ws if wanted is None else set(ws)) for s in known[w])
-            if wanted is not None and here:
-                here = Counter(s for w in ws for s in known[w])
+            here = Counter(chain.from_iterable(map(known.__getitem__, ws)))
             once.update(here.keys())
-            twice.update(s for s, n in here.items() if n > 1)
+            twice.update([s for s, n in here.items() if n > 1])
             if len(once) > HELD:
                 yield flush()
     yield flush()
@@ -330,7 +347,7 @@ def fold(doc_id: str) -> Column:
 
 
 def _taught_features(batches: Iterator[pa.RecordBatch], lexicon: dict[str, float]) -> Iterator[pa.RecordBatch]:
-    weight = weight_of(lexicon)
+    weight = Weights(lexicon)
     for b in batches:
         f = features(b.column("text"), weight)
         yield pa.RecordBatch.from_arrays([b.column("h"), b.column("toxic"), *(pa.array(f[:, i]) for i in range(len(FEATURES)))], names=["h", "toxic", *FEATURES])
@@ -348,7 +365,7 @@ def train(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> tuple[dict[st
 
 
 def _scored(batches: Iterator[pa.RecordBatch], lexicon: dict[str, float], model: np.ndarray) -> Iterator[pa.RecordBatch]:
-    weight = weight_of(lexicon)
+    weight = Weights(lexicon)
     for b in batches:
         score = probability(features(b.column("text"), weight), model)
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
@@ -363,7 +380,7 @@ def score(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def _clean(batches: Iterator[pa.RecordBatch], lexicon: dict[str, float], model: np.ndarray) -> Iterator[pa.RecordBatch]:
-    weight = weight_of(lexicon)
+    weight = Weights(lexicon)
     for b in batches:
         yield b.filter(pa.array(probability(features(b.column("text"), weight), model) < 0.5))
 

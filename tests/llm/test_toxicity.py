@@ -50,7 +50,7 @@ def test_learns_words_that_no_list_holds(spark, docs, rng):
 
 
 def test_scope_of_learned_words():
-    lexicon = toxicity.weight_of({"wrzl": 1.0, "ab$": 1.0})
+    lexicon = toxicity.Weights({"wrzl": 1.0, "ab$": 1.0})
     assert toxicity.learned("Wrzlig wrzl. Wrzlung ab", lexicon) == [4, 100]
     assert toxicity.learned("not wrzlig. She said ab. abc", lexicon) == [0, 0]
     assert toxicity.learned(None, lexicon) == [0, 0]
