@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from siftwell.plans.registry import query, table
+from siftwell.plans.registry import query, stream, table
 from siftwell.sources.readers import read_dataset
 from siftwell.streaming import queues
 
@@ -48,9 +48,7 @@ def s12_message_round_trip(spark, d):
 def d01_streamed_counts(spark, d):
     """A stream over the events' folder, drained once into memory, equals the batch count."""
     name = f"counts_{uuid.uuid4().hex}"
-    schema = table(spark, d, "events").schema
-    s = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    counts = s.groupBy(F.window("ts", "1 day"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+    counts = stream(spark, d, "events").groupBy(F.window("ts", "1 day"), "event_type").agg(F.count(F.lit(1)).alias("n"))
     q = counts.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(name).select("event_type", F.col("window.start").cast("timestamp").alias("day"), "n")
