@@ -91,6 +91,15 @@ def payload_queries(c: Column) -> Column:
     return F.filter(F.transform(F.coalesce(found, F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
 
 
+def base64_text(c: Column) -> Column:
+    """Base64 of the text's UTF-8 bytes in one line, whatever the session says about lines of 76 characters."""
+    return F.translate(F.base64(F.encode(c, "utf-8")), "\r\n", "")
+
+
+def base64_back(c: Column) -> Column:
+    return F.decode(F.unbase64(c), "utf-8")
+
+
 def snapshot(separator: str = "|", **columns: Column) -> Column:
     """``key=value`` parts joined by the separator."""
     return F.concat_ws(separator, *(F.concat(F.lit(f"{k}="), F.coalesce(v.cast("string"), F.lit(""))) for k, v in columns.items()))

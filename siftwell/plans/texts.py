@@ -154,7 +154,8 @@ def p23_paragraphs(spark, d):
 
 @query("SELECT page_id, to_base64(encode(url)) AS blob, url AS back FROM pages")
 def p21_base64(spark, d):
-    return table(spark, d, "pages").select("page_id", F.base64(F.encode("url", "utf-8")).alias("blob"), F.decode(F.unbase64(F.base64(F.encode("url", "utf-8"))), "utf-8").alias("back"))
+    blob = text.base64_text(F.col("url"))
+    return table(spark, d, "pages").select("page_id", blob.alias("blob"), text.base64_back(blob).alias("back"))
 
 
 @query("SELECT doc_id, coalesce(CASE WHEN quality = 1 THEN 0.0 END, toxic::DOUBLE) AS score FROM labels")

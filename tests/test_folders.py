@@ -33,3 +33,8 @@ def test_streamed_tokens(equal):
 def test_streamed_counts(equal):
     made = [(i, datetime.datetime(2024, 1, 1 + i % 3, 5), f"type{i % 2}") for i in range(20)]
     equal("d01_streamed_counts", "events", made, "event_id long, ts timestamp, event_type string")
+
+
+def test_base64(equal):
+    made = [(i, "https://example.net/" + "é/"[i % 2] * i) for i in range(200)] + [(200, None), (201, "")]
+    equal("p21_base64", "pages", made, "page_id long, url string")
