@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -188,22 +189,38 @@ COVERAGE_SYMBOLS = "'#!@$%^&*()-=+[]{}|\\:;\"<>,.?/"
 def coverage_words(c: Column) -> Column:
     """Lower-case words: Latin or Cyrillic letters, digits and symbols, split where anything else stands."""
     kept = "".join("\\" + x for x in COVERAGE_SYMBOLS)
-    return F.filter(F.split(F.lower(c), f"[^A-Za-z\u0430-\u044f\u0410-\u042f0-9{kept}]+"), lambda x: x != "")
+    return F.array_remove(F.split(F.lower(c), f"[^A-Za-z\u0430-\u044f\u0410-\u042f0-9{kept}]+"), "")
+
+
+def _once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(c)`` with ``c`` evaluated once for each row, however often ``f`` reads it."""
+    return F.transform(F.array(c), f)[0]
 
 
 def coverage(queries: Column, content: Column, keywords: Column) -> Column:
     """``LQ, LD, LQD, LKD, LKED``: mean words of the queries; words of the content; mean share of its words that a query
     holds; the same summed over keywords, and over keywords with their explanations. Empty contents and no queries give 0.
     """
-    doc = coverage_words(content)
-    ld, n = F.size(doc).cast("double"), F.size(queries).cast("double")
-    share = lambda t: F.when(ld > 0, common_words(coverage_words(t), doc) / ld).otherwise(0.0)
-    total = lambda items, f: F.aggregate(items, F.lit(0.0), lambda a, x: a + F.coalesce(f(x), F.lit(0.0)))
-    mean = lambda f: F.when(n > 0, total(F.filter(queries, lambda q: q.isNotNull()), f) / n).otherwise(0.0)
     named = F.filter(keywords, lambda k: k["keyword_or_phrase"].isNotNull())
     told = F.filter(named, lambda k: k["explanation"].isNotNull())
-    return F.struct(
-        mean(lambda q: F.size(coverage_words(q)).cast("double")).alias("LQ"), ld.alias("LD"), mean(share).alias("LQD"),
-        total(named, lambda k: share(k["keyword_or_phrase"])).alias("LKD"),
-        total(told, lambda k: share(F.concat(k["keyword_or_phrase"], F.lit("\n"), k["explanation"]))).alias("LKED"),
-    )
+    words = {
+        "asked": F.transform(F.filter(queries, lambda q: q.isNotNull()), coverage_words),
+        "named": F.transform(named, lambda k: coverage_words(k["keyword_or_phrase"])),
+        "told": F.transform(told, lambda k: coverage_words(F.concat(k["keyword_or_phrase"], F.lit("\n"), k["explanation"]))),
+    }
+
+    def figures(p: Column) -> Column:
+        ld, n = p["size"].cast("double"), F.size(queries).cast("double")
+        share = lambda t: F.when(ld > 0, F.size(F.array_intersect(t, p["held"])) / ld).otherwise(0.0)
+        total = lambda k, f: F.aggregate(p[k], F.lit(0.0), lambda a, t: a + F.coalesce(f(t), F.lit(0.0)))
+        mean = lambda f: F.when(n > 0, total("asked", f) / n).otherwise(0.0)
+        return F.struct(
+            mean(lambda t: F.size(t).cast("double")).alias("LQ"), ld.alias("LD"), mean(share).alias("LQD"),
+            total("named", share).alias("LKD"), total("told", share).alias("LKED"),
+        )
+
+    # The content is split once; of its words only those count that are looked for.
+    sought = lambda p: F.flatten(F.concat(*(F.coalesce(p[k], F.array().cast("array<array<string>>")) for k in words)))
+    split = F.struct(coverage_words(content).alias("doc"), *(w.alias(k) for k, w in words.items()))
+    found = lambda p: F.struct(F.size(p["doc"]).alias("size"), F.array_intersect(p["doc"], sought(p)).alias("held"), *(p[k].alias(k) for k in words))
+    return _once(_once(split, found), figures)

@@ -38,3 +38,15 @@ def test_streamed_counts(equal):
 def test_base64(equal):
     made = [(i, "https://example.net/" + "é/"[i % 2] * i) for i in range(200)] + [(200, None), (201, "")]
     equal("p21_base64", "pages", made, "page_id long, url string")
+
+
+def test_coverage(spark, equal):
+    made = [(i, ("Web, the EN {} \u0416\u0443\u043a en src1!" * (i % 3)).format(*"abc"), ["en", "de", "und"][i % 3], ["web", "src1 en", ""][i % 2]) for i in range(12)]
+    made += [(20, None, "en", "web"), (21, "\u00e9 \t", "en", "web"), (22, "en", "\u00e9", "")]
+    equal("x22_coverage", "documents", made, "doc_id long, text string, lang string, source string")
+
+
+def test_coverage_splits_a_text_once(spark, tmp_path):
+    spark.createDataFrame([(1, "a text", "en", "web")], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    plan = QUERIES["x22_coverage"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(lower(text") == 1
