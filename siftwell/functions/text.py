@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import string
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -186,10 +187,23 @@ def common_words(a: Column, b: Column) -> Column:
 COVERAGE_SYMBOLS = "'#!@$%^&*()-=+[]{}|\\:;\"<>,.?/"
 
 
+def _others(kept: str) -> str:
+    """A class of all characters but ``kept``, as ranges: Java matches them several times as fast as a negated class."""
+    ranges, at = [], 0
+    for p in [*sorted(map(ord, set(kept))), 0x110000]:
+        if p > at:
+            ranges.append(f"\\x{{{at:x}}}-\\x{{{p - 1:x}}}")
+        at = p + 1
+    return f"[{''.join(ranges)}]"
+
+
+_COVERED = string.ascii_letters + string.digits + COVERAGE_SYMBOLS + "".join(map(chr, range(0x410, 0x450)))
+_BETWEEN = _others(_COVERED) + "+"
+
+
 def coverage_words(c: Column) -> Column:
     """Lower-case words: Latin or Cyrillic letters, digits and symbols, split where anything else stands."""
-    kept = "".join("\\" + x for x in COVERAGE_SYMBOLS)
-    return F.array_remove(F.split(F.lower(c), f"[^A-Za-z\u0430-\u044f\u0410-\u042f0-9{kept}]+"), "")
+    return F.array_remove(F.split(F.lower(c), _BETWEEN), "")
 
 
 def _once(c: Column, f: Callable[[Column], Column]) -> Column:

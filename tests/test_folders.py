@@ -50,3 +50,14 @@ def test_coverage_splits_a_text_once(spark, tmp_path):
     spark.createDataFrame([(1, "a text", "en", "web")], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
     plan = QUERIES["x22_coverage"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("split(lower(text") == 1
+
+
+def test_words_of_coverage(spark):
+    from pyspark.sql import functions as F
+
+    from siftwell.functions import text
+
+    every = "".join(f"a{chr(i)}" for i in [*range(0x600), 0x2028, 0xD7FF, 0xE000, 0xFFFF, 0x10000, 0x1F600, 0x10FFFF])
+    old = F.split(F.lower(F.lit(every)), "[^A-Za-z\u0430-\u044f\u0410-\u042f0-9" + "".join("\\" + x for x in text.COVERAGE_SYMBOLS) + "]+")
+    got, want = spark.range(1).select(text.coverage_words(F.lit(every)), F.filter(old, lambda x: x != "")).first()
+    assert got == want and len(got) > 100
