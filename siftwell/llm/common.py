@@ -37,8 +37,14 @@ class Scratch:
         self.root = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        path, conf, key = f"{self.root}/{name}", self.spark.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = conf.get(key, "false")
+        # What was exchanged for a table is not read again once it is written: else it stays until the driver collects its garbage.
+        conf.set(key, "true")
+        try:
+            df.write.mode("overwrite").parquet(path)
+        finally:
+            conf.set(key, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
